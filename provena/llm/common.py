@@ -18,13 +18,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches handed to Python hold at most this many rows and bytes, whatever the length of the texts.
-BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Bounds the Arrow batches by bytes as well as rows: a batch of very long texts stays small."""
+    """Bounds the Arrow batches by bytes as well as rows, so a batch of very long texts stays small, and frees shuffles early."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    # a job's shuffle files go when it ends: what later jobs need is written to the shared folder
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    spark.conf.set("spark.sql.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from provena.llm import packing, tokenfile
+from provena.llm import decontam, linededup, minhash, packing, quality, tokenfile, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
+        "op2_minhash_near_dedup": minhash.op2_minhash_near_dedup,
+        "op4_benchmark_decontamination": decontam.op4_benchmark_decontamination,
+        "op5_line_dedup": linededup.op5_line_dedup,
         "op6_token_files": tokenfile.op6_token_files,
+        "op9_toxicity_chain": toxicity.op9_toxicity_chain,
+        "op10_quality_rules": quality.op10_quality_rules,
     }
 
 

@@ -36,7 +36,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 class WordEncoder:
     """Encodes UTF-8 texts to little-endian unsigned 32-bit ids. The table holds ``LIMIT`` words and those of one batch."""
 
-    LIMIT = 800_000
+    LIMIT = 400_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
