@@ -135,6 +135,7 @@ def repeated(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 def drop_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``text`` less its dropped lines, and ``drops``, their numbers (null: none)."""
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    docs = docs.drop("drops", "__doc")  # the result's own names
     drops = materialize(repeated(plain, threshold), "drops").withColumnRenamed("doc_id", "__doc")
     rows = docs.join(drops, F.col(key) == F.col("__doc"), "left").drop("__doc")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("drops", i)), "\n")
