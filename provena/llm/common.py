@@ -69,12 +69,19 @@ def cut(column: pa.Array) -> list[bytes]:
     return [data[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
 
 
+def whole(texts: pa.Array) -> pa.Array:
+    """A string column as large strings without nulls, in buffers of its own: some kernels misread slices of others."""
+    if texts.offset:
+        texts = texts.take(pa.array(np.arange(len(texts))))
+    return texts.cast(pa.large_string()).fill_null("")
+
+
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a batch of texts: ``index`` into the ``distinct`` ones, those of text i from
     ``starts[i]`` to ``starts[i + 1]``. Split and numbered by Arrow; Python only sees the distinct ones."""
 
     def __init__(self, texts: pa.Array, lower: bool = False):
-        texts = texts.cast(pa.large_string()).fill_null("")
+        texts = whole(texts)
         lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
         starts = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.values.slice(starts[0], starts[-1] - starts[0]).cast(pa.large_binary()).dictionary_encode()

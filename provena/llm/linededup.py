@@ -111,8 +111,8 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
 def links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """All pairs ``a, b`` of ids of ``lines`` within ``threshold`` edits."""
     pairs = materialize(candidates(lines, threshold), "pairs")
-    needed = materialize(lines.join(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id", "left_semi").select("id", F.split("line", "").alias("chars")), "chars")
-    rows = pairs.join(needed.toDF("a", "ca"), "a").join(needed.toDF("b", "cb"), "b")
+    needed = materialize(lines.join(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().hint("merge"), "id", "left_semi").select("id", F.split("line", "").alias("chars")), "chars")
+    rows = pairs.join(needed.toDF("a", "ca").hint("merge"), "a").join(needed.toDF("b", "cb").hint("merge"), "b")
     return rows.where(banded_distance(F.col("ca"), F.col("cb"), threshold) <= threshold).select("a", "b")
 
 
@@ -125,9 +125,9 @@ def repeated(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     places = occurrences(docs)
     lines = materialize(places.groupBy("line").agg(F.min("place").alias("id"), F.count("*").alias("n")), "lines")
     labels = components(materialize(links(lines.select("id", "line"), threshold), "links"))
-    found = lines.join(labels, F.col("id") == F.col("node"), "left").where("n > 1 or component is not null")
+    found = lines.join(labels.hint("merge"), F.col("id") == F.col("node"), "left").where("n > 1 or component is not null")
     found = materialize(found.select(*_code("line"), F.coalesce("component", "id").alias("first")), "repeated")
-    rows = places.select("place", *_code("line")).join(found, ["h1", "h2"]).where("place <> first")
+    rows = places.select("place", *_code("line")).join(found.hint("merge"), ["h1", "h2"]).where("place <> first")
     rows = rows.select(F.shiftright("place", 24).alias("doc_id"), F.pmod("place", F.lit(PLACES)).cast("int").alias("pos"))
     return rows.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("drops"))
 
@@ -137,7 +137,7 @@ def drop_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, key: str =
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     docs = docs.drop("drops", "__doc")  # the result's own names
     drops = materialize(repeated(plain, threshold), "drops").withColumnRenamed("doc_id", "__doc")
-    rows = docs.join(drops, F.col(key) == F.col("__doc"), "left").drop("__doc")
+    rows = docs.join(drops.hint("merge"), F.col(key) == F.col("__doc"), "left").drop("__doc")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("drops", i)), "\n")
     kept = F.when(kept.rlike(r"\S"), kept).otherwise("")
     return rows.withColumn(text, F.when(F.col("drops").isNull(), F.col(text)).otherwise(kept))

@@ -3,11 +3,12 @@
 1. One narrow pass makes a row per document: the number of its distinct shingles, a digest of the set, the MinHash bands and the
    odd sketch (the MinHash samples folded into a parity bitmap; the population count of the XOR of two bitmaps estimates a high
    similarity precisely). Documents with equal sets are one class, found by partial aggregation on the digest.
-2. In every band's bucket the classes are compared with the least one; the pairs whose sketches say that they may link are
-   confirmed on their texts. A group of near copies of any size costs as many pairs as it has members.
-3. Only buckets whose members are then still in several components are compared further: in blocks of at most ``BLOCK`` members
-   on average, by sketch, across components; what may link is confirmed on the texts as well. So no link of a bucket is lost, while a group is never
-   gathered in one task and never expanded into all its pairs.
+2. Every class is compared with two of the least classes of its buckets: the least of all, and the one that it shares most buckets
+   with. Pairs whose sketches say that they may link are confirmed on their texts. A group of near copies of any size costs at most two
+   pairs for each member.
+3. Only buckets whose members are then still in several components are compared further, in blocks of ``BLOCK`` members on average and
+   by sketch: first each member with its nearest of other components, then, in what is still apart, all that may link. Both are confirmed on the texts. So
+   no link that could join two components of a bucket is left out, while a group is never gathered in one task and never expanded into all its pairs.
 
 The bands find a pair of similarity 0.85 with probability 0.99999 (30 bands of 7 samples). A sketch passes a pair whose estimate is
 at least ``SLACK`` below the threshold, more than four standard errors of 210 samples.
@@ -117,8 +118,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    rows = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    rows = rows.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    rows = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
+    rows = rows.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
     return map_batches(rows.select("a", "b", "text_a", "text_b"), run, "a long, b long")
 
 
@@ -126,8 +127,9 @@ def _flips(x: str, y: str):
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
 
 
-def _across(limit: int):
-    """Pairs of members of two blocks of a bucket, in different components, whose sketches allow a link."""
+def _across(limit: int, nearest: bool):
+    """Pairs of members of two blocks of a bucket, in different components, whose sketches allow a link: all, or for each member the
+    one with the fewest flips."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,7 +137,10 @@ def _across(limit: int):
             for left, right in zip(batch.column(0), batch.column(1), strict=True):
                 (na, ca, sa), (nb, cb, sb) = ((np.array([m["node"] for m in x]), np.array([m["component"] for m in x]), np.array([m["sketch"] for m in x], np.int64).view(np.uint64)) for x in (left.as_py(), right.as_py()))
                 for k in range(len(na)):
-                    near = (np.bitwise_count(sb ^ sa[k]).sum(axis=1) <= limit) & (cb != ca[k])
+                    flips = np.where(cb != ca[k], np.bitwise_count(sb ^ sa[k]).sum(axis=1, dtype=np.int64), limit + 1)
+                    near = np.flatnonzero(flips <= limit)
+                    if nearest and len(near):
+                        near = near[[np.argmin(flips[near])]]
                     found_a.append(np.minimum(nb[near], na[k]))
                     found_b.append(np.maximum(nb[near], na[k]))
             a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (found_a, found_b))
@@ -144,41 +149,50 @@ def _across(limit: int):
     return run
 
 
+def _apart(shared: DataFrame, labels: DataFrame, bits: DataFrame, limit: int, nearest: bool) -> DataFrame:
+    """Pairs across components inside the buckets that still hold several."""
+    known = shared.join(labels.hint("merge"), "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
+    mixed = known.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
+    rest = known.join(mixed.hint("merge"), "bucket").join(bits.hint("merge"), "node")
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)))
+    blocks = rest.groupBy("bucket", "block").agg(F.collect_list(F.struct("node", "component", "sketch")).alias("members"), F.min("component").alias("x"), F.max("component").alias("y"))
+    blocks = materialize(blocks, "blocks")
+    left, right = blocks.alias("l"), blocks.alias("r")
+    both = left.join(right, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.block") <= F.col("r.block")) & ((F.col("l.x") != F.col("r.x")) | (F.col("l.y") != F.col("r.y")) | (F.col("l.x") != F.col("l.y"))))
+    return map_batches(both.select(F.col("l.members").alias("left"), F.col("r.members").alias("right")), _across(limit, nearest), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``; ``percent`` is the similarity in hundredths."""
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     limit = most_flips(percent / 100 - SLACK)
     rows = materialize(sketches(docs), "sketches")
-    classes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    classes = materialize(classes, "classes")
-    nodes = rows.join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "bands", "sketch")
+    classes = materialize(rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
+    firsts = classes.select(F.col("node").alias("doc_id")).distinct().hint("merge")
+    nodes = rows.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "bands", "sketch")
     nodes = materialize(nodes, "nodes")
     members = nodes.select("node", F.explode("bands").alias("bucket"))
     leaders = members.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
-    shared = materialize(members.join(leaders, "bucket"), "members")
-    star = shared.where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    shared = materialize(members.join(leaders.hint("merge"), "bucket"), "members")
     bits = nodes.select("node", "sketch")
-    star = star.join(bits.toDF("a", "sketch_a"), "a").join(bits.toDF("b", "sketch_b"), "b")
-    star = star.where(_flips("sketch_a", "sketch_b") <= limit).select("a", "b")
     # the texts of classes that share a bucket with another: the only shuffle of whole texts
-    texts = docs.join(shared.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts = materialize(texts, "texts")
-    links = materialize(confirmed(star, texts, percent), "links")
+    texts = materialize(docs.join(shared.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "texts")
+    often = shared.where("node <> a").groupBy("node", "a").agg(F.count("*").alias("n"))
+    star = often.groupBy("node").agg(F.min("a").alias("x"), F.max_by("a", F.struct("n", -F.col("a"))).alias("y"))
+    star = star.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), F.col("node").alias("b"))
+    star = star.join(bits.toDF("a", "sketch_a").hint("merge"), "a").join(bits.toDF("b", "sketch_b").hint("merge"), "b")
+    tried = materialize(star.where(_flips("sketch_a", "sketch_b") <= limit).select("a", "b"), "pairs")
+    links = materialize(confirmed(tried, texts, percent), "links")
     labels = materialize(components(links), "labels")
-    # what the least members of the buckets have not joined is compared in full
-    known = shared.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
-    mixed = known.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    rest = known.join(mixed, "bucket").join(bits, "node")
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)))
-    blocks = materialize(rest.groupBy("bucket", "block").agg(F.collect_list(F.struct("node", "component", "sketch")).alias("members"), F.min("component").alias("x"), F.max("component").alias("y")), "blocks")
-    left, right = blocks.alias("l"), blocks.alias("r")
-    both = left.join(right, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.block") <= F.col("r.block")) & ((F.col("l.x") != F.col("r.x")) | (F.col("l.y") != F.col("r.y")) | (F.col("l.x") != F.col("l.y"))))
-    more = map_batches(both.select(F.col("l.members").alias("left"), F.col("r.members").alias("right")), _across(limit), "a long, b long").distinct()
-    more = more.join(star, ["a", "b"], "left_anti")
-    more = materialize(confirmed(more, texts, percent), "links")
-    labels = materialize(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "labels")
+    for nearest in (True, False):
+        more = materialize(_apart(shared, labels, bits, limit, nearest).join(tried, ["a", "b"], "left_anti"), "pairs")
+        if more.isEmpty():
+            continue
+        tried = tried.union(more)
+        links = materialize(confirmed(more, texts, percent), "links")
+        labels = materialize(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)), "labels")
     found = classes.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "digest").join(found, "digest", "left")
+    out = rows.select("doc_id", "n_shingles", "digest").join(found.hint("merge"), "digest", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm.common import Words, bounded_labels, map_batches, table, windows
+from provena.llm.common import Words, bounded_labels, map_batches, table, whole, windows
 from provena.llm.linear import Texts, fit, platt, sigmoid, sums
 
 SAMPLE, FOLDS, THRESHOLD, WINDOW = 3_000, 2, 0.5, 8
@@ -63,7 +63,7 @@ def _repeat_words(words: Words, codes: np.ndarray) -> np.ndarray:
 
 def counted(texts: pa.Array, words: Words | None = None) -> dict[str, np.ndarray]:
     """The base counts of each text of a batch."""
-    texts = texts.cast(pa.large_string()).fill_null("")
+    texts = whole(texts)
     words = words or Words(texts)
     distinct = words.distinct.cast(pa.large_string())
     chars = pc.utf8_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64)
