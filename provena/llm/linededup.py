@@ -2,8 +2,8 @@
 
 Distinct lines within ``THRESHOLD`` edits of each other are linked by a segment-partition join: a line is cut into THRESHOLD + 1
 segments, of which one must survive in any line so near, at a place that lengths and edits bound. Index rows (length, segment
-number, segment) meet the substrings that a line at least as long may hold them at; the parities of letter counts, of which an edit
-changes two at most, are compared in the join, so a common segment costs no rows. Survivors are verified by a banded bit-parallel
+number, segment) meet the substrings that a line at least as long may hold them at; the counts of eight letters, which an edit changes by
+two in all at most, are compared in the join, so a common segment costs no rows. Survivors are verified by a banded bit-parallel
 edit distance, folded over the characters with 64-bit columns. Linked lines form classes; of each class the first occurrence (by
 document, then line) stays and all others are dropped.
 
@@ -26,7 +26,7 @@ from provena.llm.components import components
 THRESHOLD, MIN_CHARS, MIN_WORDS = 1, 20, 5
 #: Occurrences are numbered document * PLACES + line.
 PLACES = 1 << 24  # shifted back by 24 bits
-_LETTERS = "etaonishrdlucmfgpbwy"
+_LETTERS = "etaonish"
 
 
 def eligible(line: Column) -> Column:
@@ -51,13 +51,23 @@ def _key(length: Column, i: int, segment: Column) -> Column:
     return F.xxhash64(length, F.lit(i), segment)
 
 
-def candidates(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs ``a, b`` of ids that share a segment where it may stand; ``lines`` has ``id, line``."""
-    n = F.char_length("line")
-    parity = F.lit(0).cast("long")
+def measured(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``n``, the characters, and ``counts``, those of each letter of ``_LETTERS`` modulo 128, seven bits each."""
+    n, counts = F.char_length("line"), F.lit(0).cast("long")
     for k, letter in enumerate(_LETTERS):
-        parity = parity.bitwiseOR(F.shiftleft(((n - F.char_length(F.replace("line", F.lit(letter), F.lit("")))) % 2).cast("long"), k))
-    lines = lines.select("id", "line", n.cast("int").alias("n"), parity.alias("parity"))
+        counts = counts.bitwiseOR(F.shiftleft(((n - F.char_length(F.replace("line", F.lit(letter), F.lit("")))) % 128).cast("long"), 7 * k))
+    return lines.withColumn("n", n.cast("int")).withColumn("counts", counts)
+
+
+def counts_apart(a: Column, b: Column) -> Column:
+    """Sum of the letters' differences: an edit adds two at most."""
+    part = lambda x, k: F.shiftright(x, 7 * k).bitwiseAND(F.lit(127).cast("long"))
+    apart = [F.pmod(part(a, k) - part(b, k), F.lit(128)) for k in range(len(_LETTERS))]
+    return sum((F.least(x, 128 - x) for x in apart[1:]), F.least(apart[0], 128 - apart[0]))
+
+
+def candidates(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Pairs ``a, b`` of ids that share a segment where it may stand; ``lines`` has ``id, line, n, counts``."""
     length = F.col("n")
     index = F.array(*[_key(length, i, F.substr("line", (start + 1).cast("int"), size.cast("int"))) for i, (start, size) in enumerate(_segments(length, threshold))])
     probes = []
@@ -65,9 +75,9 @@ def candidates(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         for i, (start, size) in enumerate(_segments(length - less, threshold)):
             low, high = max(-i, less - (threshold - i)), min(i, less + (threshold - i))
             probes += [_key(length - less, i, F.substr("line", (start + shift + 1).cast("int"), size.cast("int"))) for shift in range(low, high + 1)]
-    left = lines.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"), F.explode(F.array_distinct(index)).alias("key"))
-    right = lines.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"), F.explode(F.array_distinct(F.array(*probes))).alias("key"))
-    near = F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= 2 * threshold
+    left = lines.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("counts").alias("pa"), F.explode(F.array_distinct(index)).alias("key"))
+    right = lines.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("pb"), F.explode(F.array_distinct(F.array(*probes))).alias("key"))
+    near = counts_apart(F.col("pa"), F.col("pb")) <= 2 * threshold
     pairs = left.join(right, (left.key == right.key) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (F.col("nb") - F.col("na") <= threshold) & near)
     return pairs.select("a", "b").distinct()
 
@@ -109,7 +119,7 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
 
 
 def links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """All pairs ``a, b`` of ids of ``lines`` within ``threshold`` edits."""
+    """All pairs ``a, b`` of ids of ``lines`` (of ``measured``) within ``threshold`` edits."""
     pairs = materialize(candidates(lines, threshold), "pairs")
     needed = materialize(lines.join(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().hint("merge"), "id", "left_semi").select("id", F.split("line", "").alias("chars")), "chars")
     rows = pairs.join(needed.toDF("a", "ca").hint("merge"), "a").join(needed.toDF("b", "cb").hint("merge"), "b")
@@ -123,9 +133,10 @@ def _code(line: str) -> list[Column]:
 def repeated(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """``doc_id, drops``: the line numbers of each document that an earlier line of their class makes redundant."""
     places = occurrences(docs)
-    lines = materialize(places.groupBy("line").agg(F.min("place").alias("id"), F.count("*").alias("n")), "lines")
-    labels = components(materialize(links(lines.select("id", "line"), threshold), "links"))
-    found = lines.join(labels.hint("merge"), F.col("id") == F.col("node"), "left").where("n > 1 or component is not null")
+    lines = measured(places.groupBy("line").agg(F.min("place").alias("id"), F.count("*").alias("times")))
+    lines = materialize(lines, "lines")
+    labels = components(materialize(links(lines, threshold), "links"))
+    found = lines.join(labels.hint("merge"), F.col("id") == F.col("node"), "left").where("times > 1 or component is not null")
     found = materialize(found.select(*_code("line"), F.coalesce("component", "id").alias("first")), "repeated")
     rows = places.select("place", *_code("line")).join(found.hint("merge"), ["h1", "h2"]).where("place <> first")
     rows = rows.select(F.shiftright("place", 24).alias("doc_id"), F.pmod("place", F.lit(PLACES)).cast("int").alias("pos"))
