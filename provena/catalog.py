@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from provena.queries import graphs, relational
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for module in (graphs, relational) for name, (query, _) in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in (graphs, relational) for name, (_, sql) in module.QUERIES.items() if sql}

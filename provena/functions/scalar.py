@@ -8,6 +8,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The prefix of keys made from a list of strings, and the ending of cache entries' names.
 KEY_PREFIX, ENTRY_SUFFIX = "provena-key-v1\0", "entry"
@@ -217,7 +218,7 @@ def location(text: Column, offset: Column) -> Column:
     return F.struct(line.alias("line"), (F.char_length(F.substring_index(before, "\n", -1)) + 1).alias("column"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def splice(text: pd.Series, edits: pd.Series) -> pd.Series:
     """Replaces byte ranges (``start, end, text`` each, not overlapping) from right to left; null if two overlap or one is outside."""
 
@@ -276,7 +277,7 @@ def match_arguments(formals: list[str], names: list[str | None]) -> tuple[list[i
     return [taken.get(f) for f in range(len(formals))], None
 
 
-@F.pandas_udf("struct<assigned:array<int>,error:string>")
+@F.pandas_udf(T.StructType([T.StructField("assigned", T.ArrayType(T.IntegerType())), T.StructField("error", T.StringType())]))
 def matched(formals: pd.Series, names: pd.Series) -> pd.DataFrame:
     rows = [match_arguments(list(f), [n or None for n in a]) for f, a in zip(formals, names, strict=True)]
     return pd.DataFrame({"assigned": [r[0] for r in rows], "error": [r[1] for r in rows]})
