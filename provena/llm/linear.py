@@ -37,7 +37,7 @@ def word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             owners.append(owner[:n][whole])
     features, owners = np.concatenate(found), np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
-    return (features[order] % np.uint64(DIM)).astype(np.int64), np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(texts)))])
+    return (features % np.uint64(DIM)).astype(np.int32)[order], np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(texts)))])
 
 
 def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -55,10 +55,9 @@ class Texts:
     def __init__(self, words: Words, pool: str):
         n = len(words.starts) - 1
         counts = np.diff(words.starts)
-        text = np.repeat(np.arange(n), counts)
-        self.text, self.word = text, words.index.astype(np.int64)
+        self.text, self.word = np.repeat(np.arange(n, dtype=np.int32), counts), words.index
         share = np.maximum(counts, 1) if pool == "mean" else np.sqrt(np.maximum(counts, 1))
-        self.value = np.repeat(1 / share, counts)
+        self.value = np.repeat((1 / share).astype(np.float32), counts)
         self.n = n
         self.features, self.starts = word_features(words.distinct)
 

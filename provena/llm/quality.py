@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from provena.llm.common import Words, bounded_labels, map_batches, table, whole, windows
 from provena.llm.linear import Texts, fit, platt, sigmoid, sums
 
-SAMPLE, FOLDS, THRESHOLD, WINDOW = 3_000, 2, 0.5, 8
+SAMPLE, FOLDS, THRESHOLD, WINDOW = 2_500, 2, 0.5, 8
 #: Fixed values of the base rules.
 MIN_WORDS, MAX_REPEATED_PERCENT, SYMBOLS = 20, 30, "[#*$%&|<>]"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from provena.llm.common import Words, bounded_labels, cut, map_batches, table
 from provena.llm.linear import Texts, fit, platt, sigmoid, sums
 
-SAMPLE, FOLDS, SEVERE, TELLING, SUPPORT = 4_000, 2, 4, 25, 5
+SAMPLE, FOLDS, SEVERE, TELLING, SUPPORT = 3_000, 2, 4, 25, 5
 CATEGORIES = ("insult", "severe", "toxic")
 _SETTINGS = {"l2": 1e-5, "rounds": 70, "rate": 0.1}
 
