@@ -1,13 +1,13 @@
 """The training-data operators against brute force, round trips and held-out accuracy, and on odd inputs."""
 
 import collections
+import datetime
 import hashlib
 import random
 import re
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -28,7 +28,7 @@ def odd_rows():
     long = prose(1, 9_000)
     base = prose(2, 120)
     near = base.replace(base.split()[60], "changed", 1)
-    texts = [None, "", " \t\n", "one", "two words", base, base, near, long, long, "Línea única de texto con acentos y palabras\n" + prose(3, 80), "x" * 50_000, "\n\n" + prose(4, 40) + "\n" + prose(3, 80), "mail a.b@c.example +1 (803) 555-5351 4539578763621486 10.0.0.1 999.1.1.1", "@" * 3_000 + "1" * 3_000, base.upper(), "<|endoftext|> it's ÀÉ ß İ 日本 don't."]
+    texts = [None, "", " \t\n", "one", "two words", base, base, near, long, long, "Línea única de texto con acentos y palabras\n" + prose(3, 80), "x" * 50_000, "\n\n" + prose(4, 40) + "\n" + prose(3, 80), "mail a.b@c.example tel +1 (803) 555-5351 card 4111111111111111 host 10.0.0.1 not 999.1.1.1", "@" * 3_000 + "1" * 3_000, base.upper(), "<|endoftext|> it's ÀÉ ß İ 日本 don't."]
     return [(i, t, None, "s", None, "q", "d", "k", "h", None) for i, t in enumerate(texts)] + [(5, base, "en", "s", 1, None, None, None, None, 1)]
 
 
@@ -187,17 +187,17 @@ def test_personal_data(odd, empty):
 def test_skip_edges_carry_a_label_to_distant_repeats():
     w, chain = np.zeros((pii.DIM, 5)), np.zeros((5, 5))
     skip = np.eye(5) * 6
-    text = "card 4539578763621486 here " + "word " * 200 + "and 4539578763621486x there"
+    text = "card 4111111111111111 here " + "word " * 200 + "and 4111111111111111x there"
     base = pii.base_spans(text)
     p = pii.marginals([pii.Graph(text, base)], (w, chain, skip))[0]
     assert p[1].argmax() == 2 and p[1][2] > 0.9
     assert pii.marginals([pii.Graph(text, base)], (w, chain, skip * 0))[0][1].max() < 0.3
 
 
-def test_line_dedup_equals_brute_force(spark, odd, small, empty):
+def test_line_dedup_equals_brute_force(spark, odd, empty):
     near = prose(3, 30)
     rows = [(50, "short\n" + near), (51, near + "x\nshort"), (52, near[1:] + "\n" + near), (53, None), (54, prose(8, 25) + "\n" + near[:9] + "Q" + near[10:])]
-    docs = odd.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string")).union(small.select(F.col("doc_id") + 1000, "text")).where("doc_id <> 5 or text is not null").dropDuplicates(["doc_id"])
+    docs = odd.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id <> 5 or text is not null").dropDuplicates(["doc_id"])
     data = sorted(docs.toPandas().itertuples(index=False), key=lambda r: r.doc_id)
     places = [(r.doc_id, k, x) for r in data for k, line in enumerate((r.text or "").split("\n")) if len(x := line.strip(" ")) >= 20 and len(re.findall(r"[^ \t\x0b\f\r]+", x)) >= 5]
     first = {}
@@ -349,7 +349,7 @@ def test_linear_model_learns_held_out_words():
 
 
 def test_warc_revisits(spark):
-    row = lambda i, kind, uri, t, status, headers, body=None: (i, kind, uri, None if t is None else pd.Timestamp(t, unit="s"), status, headers, body)
+    row = lambda i, kind, uri, t, status, headers, body=None: (i, kind, uri, None if t is None else datetime.datetime.fromtimestamp(t), status, headers, body)
     rows = [
         row("a", "response", "http://www.X.com/p/?b=2&a=1#f", 100, 200, {"ETag": '"1"', "Content-Length": "5", "Date": "old"}, b"first"),
         row("b", "response", "https://x.com/p?a=1&b=2", 90_000, 200, {"ETag": '"2"'}, b"second"),
