@@ -132,7 +132,7 @@ def test_strata_return_to_the_first(spark):
     seed = spark.createDataFrame([(1,)], "n long")
     double = lambda df: df.union(df.select(F.col("n") * 2)).where("n < 20").distinct()
     late = lambda df: df.agg(F.max("n").alias("n")).select(F.col("n") + 1).where("n < 7").toDF("n")
-    assert {x.n for x in stratified(seed, [double, late], ["n"]).collect()} == {1, 2, 3, 4, 6}
+    assert {x.n for x in stratified(seed, [double, late], ["n"]).collect()} == {1, 2, 3, 4, 6, 7, 8, 12, 14}
 
 
 def test_definitions_end_or_circle(spark):
@@ -198,5 +198,5 @@ def test_emitted_text(spark):
 def test_root_specs():
     assert RootSpec.parse("foo.bar").kind == "name" and RootSpec.parse("./x").kind == "directory"
     for bad in ("", "1a", "a.", "a b"):
-        with pytest.raises(ValueError, match=""):
+        with pytest.raises(ValueError, match="package name|path"):
             RootSpec.parse(bad)
