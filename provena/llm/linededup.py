@@ -158,4 +158,23 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
     out = drop_repeated_lines(docs)
     text = F.coalesce("text", F.lit(""))
-    return out.select("doc_id", "n_lines", F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"), F.char_length(text).cast("long").alias("kept_chars"), F.crc32(text.cast("binary")).alias("kept_crc32"))
+    return out.select("doc_id", "n_lines", F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"), F.char_length(text).cast("long").alias("kept_chars"), F.md5(text.cast("binary")).alias("kept_md5"))
+
+
+#: The same classes in DuckDB: lines of nearly equal length that share a half are compared directly.
+OP5_SQL = r"""
+with recursive d as (select doc_id, coalesce(text, '') as text, string_split(coalesce(text, ''), chr(10)) as l from documents),
+x as (select doc_id, unnest(l) as raw, generate_subscripts(l, 1) - 1 as pos from d),
+o as (select doc_id, pos, doc_id * 16777216 + pos as place, trim(raw) as line from x where length(trim(raw)) >= 20 and regexp_matches(trim(raw), '(\S+\s+){4}\S')),
+f as (select line, min(place) as id, length(line) as n from o group by line),
+h as (select id, line, n, m, n - m as less, unnest([left(line, m // 2), right(line, m - m // 2)]) as half, unnest([0, 1]) as side from (select *, unnest([n, n - 1]) as m from f) y),
+p as (select distinct a.id as a, b.id as b, a.line as s, b.line as t, a.n from h a join h b on a.m = b.m and a.side = b.side and a.half = b.half and a.less = 0 and (b.less = 1 or a.id < b.id)),
+e as (select a, b from p where list_bool_or(list_transform(range(length(t)), lambda i: case when length(t) > length(s) then s else substr(s, 1, i) || substr(s, i + 2) end = substr(t, 1, i) || substr(t, i + 2)))),
+g as (select a, b from e union select b, a from e),
+r(node, other) as (select id, id from f union select r.node, g.b from r join g on g.a = r.other),
+c as (select node, min(other) as first from r group by node),
+k as (select o.doc_id, list(o.pos) as drops from o join f using (line) join c on c.node = f.id where o.place <> c.first group by o.doc_id),
+z as (select d.doc_id, len(l) as n_lines, coalesce(len(drops), 0) as n_dropped, text, array_to_string(list_filter(l, lambda v, i: not list_contains(drops, i - 1)), chr(10)) as kept, drops from d left join k using (doc_id)),
+q as (select *, case when drops is null then text when regexp_matches(kept, '\S') then kept else '' end as final from z)
+select doc_id, n_lines::bigint as n_lines, n_dropped::bigint as n_dropped, length(final)::bigint as kept_chars, md5(final) as kept_md5 from q
+"""

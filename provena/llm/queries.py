@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc_revisits": warc.OP8_SQL}
+    return {"op2_minhash_near_dedup": minhash.OP2_SQL, "op5_line_dedup": linededup.OP5_SQL, "op8_warc_revisits": warc.OP8_SQL}
