@@ -200,3 +200,30 @@ def test_root_specs():
     for bad in ("", "1a", "a.", "a b"):
         with pytest.raises(ValueError, match="package name|path"):
             RootSpec.parse(bad)
+
+
+def test_call_rules(spark):
+    from provena.operators import calls
+
+    rows = [(1, "assign", ["", "", "envir"], ["v", None, None], 2), (2, "get", ["envir", ""], [None, "n"], 0), (3, "get", ["", "envir"], [None, None], 1), (4, "ls", [""], [None], 0), (5, "list2env", [""], [None], 0), (6, "mystery", [""], [None], 0), (7, "environmentName", [""], [None], 0), (8, "makeActiveBinding", ["", "", ""], ["b", None, None], 2)]
+    df = spark.createDataFrame(rows, "call int, callee string, names array<string>, statics array<string>, index int")
+    assert {r.call: r.created for r in calls.created_names(df).collect()} == {1: "v", 5: None, 8: "b"}
+    assert {r.call: r.name for r in calls.looked_up_names(df).collect()} == {2: "n", 3: None}
+    got = {r.call: (r.action, r.name) for r in calls.namespace_actions(df).collect()}
+    assert got == {1: ("write", "v"), 2: ("read", "n"), 3: ("escape", None), 4: ("names", None), 5: ("escape", None), 6: ("escape", None), 7: ("supported", None), 8: ("write", "b")}
+    native = spark.createDataFrame([(1, ["", "", "PACKAGE", ""], 2), (2, [""], 1)], "call int, names array<string>, position int")
+    assert {r.call: r["index"] for r in calls.native_argument(native).collect()} == {1: 3, 2: None}
+
+
+def test_relocations(spark):
+    from provena.operators import relocate
+
+    sources = spark.createDataFrame([("a", "é foo::bar data")], "source string, text string")
+    schema = "source string, start int, end int, kind string, package string, name string, component string, table string, flag boolean"
+    plans = spark.createDataFrame([("a", 3, 11, "binding", "foo", "bar", None, None, None), ("a", 12, 16, "loaded_query", "foo", None, None, None, None)], schema)
+    assert relocate.rewritten(plans, sources, "root").first().text == 'é base::getExportedValue(base::asNamespace("foo"), "bar") TRUE'
+    bad = spark.createDataFrame([("a", 3, 11, "dataset", "foo", "iris", None, None, None), ("a", 9, 99, "resource", "foo", "x", None, None, None)], schema)
+    carried = spark.createDataFrame([], "package string, name string")
+    assert sorted(r.problem for r in relocate.rejected(bad, sources, carried).collect()) == ["names a dataset that is not carried", "outside its code", "overlaps another"]
+    roles = spark.createDataFrame([("foo", "Linked")], "name string, role string")
+    assert relocate.needed(plans, roles).count() == 2
