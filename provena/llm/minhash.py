@@ -7,8 +7,10 @@
    with. Pairs whose sketches say that they may link are confirmed on their texts. A group of near copies of any size costs at most two
    pairs for each member.
 3. Only buckets whose members are then still in several components are compared further, in blocks of ``BLOCK`` members on average and
-   by sketch: first each member with its nearest of other components, then, in what is still apart, all that may link. Both are confirmed on the texts. So
-   no link that could join two components of a bucket is left out, while a group is never gathered in one task and never expanded into all its pairs.
+   by sketch. First each member is confirmed with its nearest of other components. In what is still apart after that, the members
+   with a partner that may link meet in blocks with their texts, and each such pair is decided on the full sets there; only links leave
+   the block. So no link that could join two components of a bucket is left out, while a group is never gathered in one task and its
+   pairs are never rows.
 
 The bands find a pair of similarity 0.85 with probability 0.99999 (30 bands of 7 samples). A sketch passes a pair whose estimate is
 at least ``SLACK`` below the threshold, more than four standard errors of 210 samples.
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from provena.llm.common import Words, map_batches, materialize, mix, table, windows
 from provena.llm.components import components
 
-SHINGLE, BANDS, ROWS, SKETCH_BITS, BLOCK, SLACK = 5, 30, 7, 1024, 256, 0.11
+SHINGLE, BANDS, ROWS, SKETCH_BITS, BLOCK, TEXT_BLOCK, SLACK = 5, 30, 7, 1024, 256, 64, 0.11
 _K = BANDS * ROWS
 _FACTORS = (mix(np.arange(1, _K + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _SALTS = mix(np.arange(1001, 1001 + _K, dtype=np.uint64))
@@ -127,39 +129,102 @@ def _flips(x: str, y: str):
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
 
 
-def _across(limit: int, nearest: bool):
-    """Pairs of members of two blocks of a bucket, in different components, whose sketches allow a link: all, or for each member the
-    one with the fewest flips."""
+def _members(block) -> tuple[list[dict], np.ndarray, np.ndarray, np.ndarray]:
+    rows = block.as_py()
+    return rows, np.array([m["node"] for m in rows]), np.array([m["component"] for m in rows]), np.array([m["sketch"] for m in rows], np.int64).view(np.uint64)
+
+
+def _close(sa: np.ndarray, ca: int, sb: np.ndarray, cb: np.ndarray, limit: int) -> np.ndarray:
+    """Flips against members of other components; ``limit + 1`` for those of the same."""
+    return np.where(cb != ca, np.bitwise_count(sb ^ sa).sum(axis=1, dtype=np.int64), limit + 1)
+
+
+def _nearest(limit: int):
+    """Of two blocks of a bucket, each member of the first with its nearest of the second, if their sketches allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found_a, found_b = [], []
-            for left, right in zip(batch.column(0), batch.column(1), strict=True):
-                (na, ca, sa), (nb, cb, sb) = ((np.array([m["node"] for m in x]), np.array([m["component"] for m in x]), np.array([m["sketch"] for m in x], np.int64).view(np.uint64)) for x in (left.as_py(), right.as_py()))
+            a, b = [], []
+            for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
+                (_, na, ca, sa), (_, nb, cb, sb) = _members(left), _members(right)
                 for k in range(len(na)):
-                    flips = np.where(cb != ca[k], np.bitwise_count(sb ^ sa[k]).sum(axis=1, dtype=np.int64), limit + 1)
-                    near = np.flatnonzero(flips <= limit)
-                    if nearest and len(near):
-                        near = near[[np.argmin(flips[near])]]
-                    found_a.append(np.minimum(nb[near], na[k]))
-                    found_b.append(np.maximum(nb[near], na[k]))
-            a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (found_a, found_b))
+                    flips = _close(sa[k], ca[k], sb, cb, limit)
+                    at = int(np.argmin(flips))
+                    if flips[at] <= limit:
+                        a.append(min(na[k], nb[at]))
+                        b.append(max(na[k], nb[at]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _apart(shared: DataFrame, labels: DataFrame, bits: DataFrame, limit: int, nearest: bool) -> DataFrame:
-    """Pairs across components inside the buckets that still hold several."""
-    known = shared.join(labels.hint("merge"), "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
-    mixed = known.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    rest = known.join(mixed.hint("merge"), "bucket").join(bits.hint("merge"), "node")
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)))
-    blocks = rest.groupBy("bucket", "block").agg(F.collect_list(F.struct("node", "component", "sketch")).alias("members"), F.min("component").alias("x"), F.max("component").alias("y"))
+def _open_members(limit: int):
+    """``bucket, node`` of the members of two blocks that have a partner which may link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buckets, nodes = [], []
+            for bucket, left, right in zip(batch.column("bucket").to_pylist(), batch.column("left"), batch.column("right"), strict=True):
+                (_, na, ca, sa), (_, nb, cb, sb) = _members(left), _members(right)
+                partner = np.zeros(len(nb), bool)
+                own = np.zeros(len(na), bool)
+                for k in range(len(na)):
+                    near = _close(sa[k], ca[k], sb, cb, limit) <= limit
+                    partner |= near
+                    own[k] = near.any()
+                found = np.union1d(na[own], nb[partner]).tolist()
+                nodes += found
+                buckets += [bucket] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(nodes, pa.int64())], names=["bucket", "node"])
+
+    return run
+
+
+def _decided(limit: int, percent: int):
+    """The links between members of two blocks in different components, on their full sets; of each two components one is enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
+                (ra, na, ca, sa), (rb, nb, cb, sb) = _members(left), _members(right)
+                sets_a, sets_b = (list(shingle_sets(pa.array([m["text"] for m in r], pa.string()))) for r in (ra, rb))
+                joined: set[tuple[int, int]] = set()
+                for k in range(len(na)):
+                    for at in np.flatnonzero(_close(sa[k], ca[k], sb, cb, limit) <= limit).tolist():
+                        pair = (min(ca[k], cb[at]), max(ca[k], cb[at]))
+                        if pair in joined:
+                            continue
+                        same = len(np.intersect1d(sets_a[k], sets_b[at], assume_unique=True))
+                        if 100 * same >= percent * (len(sets_a[k]) + len(sets_b[at]) - same):
+                            joined.add(pair)
+                            a.append(min(na[k], nb[at]))
+                            b.append(max(na[k], nb[at]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _block_pairs(members: DataFrame, size: int, *columns: str) -> DataFrame:
+    """``bucket, left, right``: pairs of blocks of a bucket's members that hold more than one component between them."""
+    n = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket", "n")
+    rest = members.join(n.hint("merge"), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / size)))
+    blocks = rest.groupBy("bucket", "block").agg(F.collect_list(F.struct("node", "component", "sketch", *columns)).alias("members"), F.min("component").alias("x"), F.max("component").alias("y"))
     blocks = materialize(blocks, "blocks")
     left, right = blocks.alias("l"), blocks.alias("r")
-    both = left.join(right, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.block") <= F.col("r.block")) & ((F.col("l.x") != F.col("r.x")) | (F.col("l.y") != F.col("r.y")) | (F.col("l.x") != F.col("l.y"))))
-    return map_batches(both.select(F.col("l.members").alias("left"), F.col("r.members").alias("right")), _across(limit, nearest), "a long, b long").distinct()
+    apart = (F.col("l.x") != F.col("r.x")) | (F.col("l.y") != F.col("r.y")) | (F.col("l.x") != F.col("l.y"))
+    both = left.join(right.hint("merge"), (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.block") <= F.col("r.block")) & apart)
+    return both.select("l.bucket", F.col("l.members").alias("left"), F.col("r.members").alias("right"))
+
+
+def _known(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    return shared.join(labels.hint("merge"), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+
+
+def _mixed(known: DataFrame) -> DataFrame:
+    """The members of buckets with several components."""
+    mixed = known.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
+    return known.join(mixed.hint("merge"), "bucket")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
@@ -173,7 +238,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     nodes = materialize(nodes, "nodes")
     members = nodes.select("node", F.explode("bands").alias("bucket"))
     leaders = members.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
-    shared = materialize(members.join(leaders.hint("merge"), "bucket"), "members")
+    shared = materialize(members.join(leaders.hint("merge"), "bucket").select("node", "bucket", "a"), "members")
     bits = nodes.select("node", "sketch")
     # the texts of classes that share a bucket with another: the only shuffle of whole texts
     texts = materialize(docs.join(shared.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "texts")
@@ -184,13 +249,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     tried = materialize(star.where(_flips("sketch_a", "sketch_b") <= limit).select("a", "b"), "pairs")
     links = materialize(confirmed(tried, texts, percent), "links")
     labels = materialize(components(links), "labels")
-    for nearest in (True, False):
-        more = materialize(_apart(shared, labels, bits, limit, nearest).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            continue
-        tried = tried.union(more)
-        links = materialize(confirmed(more, texts, percent), "links")
-        labels = materialize(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)), "labels")
+    merged = lambda more: materialize(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "labels")
+    pairs = _block_pairs(_mixed(_known(shared, labels)).join(bits.hint("merge"), "node"), BLOCK)
+    near = map_batches(pairs, _nearest(limit), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+    labels = merged(materialize(confirmed(materialize(near, "pairs"), texts, percent), "links"))
+    known = _known(shared, labels)
+    pairs = _block_pairs(_mixed(known).join(bits.hint("merge"), "node"), BLOCK)
+    open_ = materialize(map_batches(pairs, _open_members(limit), "bucket long, node long").distinct(), "open")
+    if not open_.isEmpty():
+        full = open_.join(known.hint("merge"), ["bucket", "node"]).join(bits.hint("merge"), "node").join(texts.withColumnRenamed("doc_id", "node").hint("merge"), "node")
+        pairs = _block_pairs(full, TEXT_BLOCK, "text")
+        labels = merged(materialize(map_batches(pairs.select("left", "right"), _decided(limit, percent), "a long, b long").distinct(), "links"))
     found = classes.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "digest").join(found.hint("merge"), "digest", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
