@@ -24,6 +24,15 @@ class Explanation:
     stats: DataFrame
 
 
+def one_row(parts: dict[str, DataFrame]) -> DataFrame:
+    """The values of one-row, one-column tables as the columns of one row."""
+    rows = None
+    for name, df in parts.items():
+        own = df.toDF("value").select(F.lit(name).alias("name"), "value")
+        rows = own if rows is None else rows.union(own)
+    return rows.agg(*[F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in parts])
+
+
 def explain(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> Explanation:
     """``nodes`` has ``node, package, kind``; ``edges`` ``src, dst, kind, reason, source, start, end``; ``roots`` ``node, reason``.
     A component's identity is the framed digest of its sorted members; ``cyclic`` ones have several members or a loop."""
@@ -48,15 +57,17 @@ def explain(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> Explanation
     causes = graph.attribution(merged.select("src", "dst"), starts.select(F.col("root").alias("node")).distinct()).join(starts, "root")
     causes = causes.groupBy(F.col("node").alias("component")).agg(F.array_sort(F.collect_set("root_node")).alias("root_causes"))
     components = members.join(shown, "component").join(causes, "component", "left").drop("loop")
-    stats = edges.agg(F.count("*").alias("raw_edges")).crossJoin(nodes.agg(F.count("*").alias("raw_nodes"))).crossJoin(components.agg(F.count("*").alias("components"), F.sum(F.col("cyclic").cast("long")).alias("nontrivial_sccs"))).crossJoin(merged.agg(F.count("*").alias("edges")))  # one row each
+    cyclic = F.coalesce(F.sum(F.col("cyclic").cast("long")), F.lit(0))
+    stats = one_row({"raw_edges": edges.agg(F.count("*")), "raw_nodes": nodes.agg(F.count("*")), "components": components.agg(F.count("*")), "nontrivial_sccs": components.agg(cyclic), "edges": merged.agg(F.count("*"))})
     return Explanation(components, out, starts.distinct(), report.package_summaries(nodes.select("node", "package"), plain), stats)
 
 
 def document(e: Explanation) -> DataFrame:
     """One JSON text of the whole, in a fixed order: for package-sized explanations."""
-    pack = lambda df, name, *order: df.agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in df.columns if c not in order]))).alias(name))
-    out = pack(e.components, "components", "component").crossJoin(pack(e.edges, "edges", "src", "dst")).crossJoin(pack(e.roots, "roots", "root", "reason")).crossJoin(pack(e.summaries, "packages", "package")).crossJoin(e.stats.select(F.struct("*").alias("stats")))
-    return out.select(F.to_json(F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), "*")).alias("json"))
+    pack = lambda df, *order: df.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*order, *[c for c in df.columns if c not in order])))))
+    parts = {"components": pack(e.components, "component"), "edges": pack(e.edges, "src", "dst"), "roots": pack(e.roots, "root", "reason"), "packages": pack(e.summaries, "package"), "stats": e.stats.select(F.to_json(F.struct(*e.stats.columns)))}
+    fields = F.concat_ws(",", F.lit(f'"schema_version":{SCHEMA_VERSION}'), *[F.concat(F.lit(f'"{name}":'), F.col(name)) for name in parts])
+    return one_row(parts).select(F.concat(F.lit("{"), fields, F.lit("}")).alias("json"))
 
 
 def why(analysis: Analysis, target: str) -> DataFrame:
