@@ -65,15 +65,15 @@ scc as (select n.node, coalesce(min(x.b), n.node) as c0 from nodes n left join (
 labels as (select node, least(node, c0) as component from scc)"""
 
 
-def scc_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.components(part_edges(spark, sf_dir, 48))
+def scc_components(spark: SparkSession, sf_dir: str, least: int = 48) -> DataFrame:
+    return graph.components(part_edges(spark, sf_dir, least))
 
 
 SCC = f"with recursive {_SCC} select node, component from labels"
 
 
-def condensation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = graph.cut(part_edges(spark, sf_dir, 48), "edges")
+def condensation_edges(spark: SparkSession, sf_dir: str, least: int = 48) -> DataFrame:
+    e = graph.cut(part_edges(spark, sf_dir, least), "edges")
     return graph.condensation(e, graph.components(e))
 
 
@@ -81,9 +81,9 @@ CONDENSATION = f"""with recursive {_SCC} select a.component as src, b.component
 from edges e join labels a on e.src = a.node join labels b on e.dst = b.node where a.component <> b.component group by 1, 2"""
 
 
-def redundant_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """On the condensation of the sparser graph, whose closure stays small."""
-    e = graph.cut(part_edges(spark, sf_dir, 49), "edges")
+def redundant_edges(spark: SparkSession, sf_dir: str, least: int = 49) -> DataFrame:
+    """On the condensation; by default that of the sparser graph, whose closure DuckDB can make."""
+    e = graph.cut(part_edges(spark, sf_dir, least), "edges")
     return graph.redundant(graph.condensation(e, graph.components(e)).select("src", "dst"))
 
 
@@ -93,9 +93,9 @@ p(a, b) as (select src, dst from c union select p.a, c.dst from p join c on c.sr
 select src, dst, exists (select 1 from c o join p on p.a = o.dst where o.src = c.src and p.b = c.dst) as redundant from c"""
 
 
-def transparent_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+def transparent_projection(spark: SparkSession, sf_dir: str, least: int = 48, limit: int = 3) -> DataFrame:
     opaque = read(spark, sf_dir, "part").where("p_size % 2 = 0").select(F.col("p_partkey").alias("node"))
-    return graph.projected(part_edges(spark, sf_dir, 48), opaque, 3)
+    return graph.projected(part_edges(spark, sf_dir, least), opaque, limit)
 
 
 PROJECTION = f"""with {_edges_sql(48)}, o as (select p_partkey as node from part where p_size % 2 = 0), t as (select p_partkey as node from part where p_size % 2 <> 0),
@@ -130,8 +130,8 @@ r(node, level) as (select node, 0::bigint from n where node not in (select dst f
 m as (select node, max(level) as level from r group by node) select level, count(*) as nodes, min(node) as least from m group by level"""
 
 
-def spanning_tree_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = graph.cut(part_edges(spark, sf_dir, 30), "edges")
+def spanning_tree_depths(spark: SparkSession, sf_dir: str, least: int = 30) -> DataFrame:
+    e = graph.cut(part_edges(spark, sf_dir, least), "edges")
     tree = graph.shortest_paths(e, least_part(spark, sf_dir))
     return tree.select("node", "parent", "distance")
 
@@ -141,4 +141,41 @@ r(node, distance) as (select min(p_partkey), 0::bigint from part union select e.
 b as (select node, min(distance) as distance from r group by node)
 select b.node, min(p.node) as parent, any_value(b.distance) as distance from b left join edges e on e.dst = b.node left join b p on p.node = e.src and p.distance = b.distance - 1 group by b.node"""
 
-QUERIES = {f.__name__: (f, sql) for f, sql in ((reach_parts, REACH), (shortest_path_len, PATHS), (multi_root_attribution, ATTRIBUTION), (scc_components, SCC), (condensation_edges, CONDENSATION), (redundant_edges, REDUNDANT), (transparent_projection, PROJECTION), (adjacency_stats, STATS), (topo_levels, TOPO), (spanning_tree_depths, TREE))}
+def whole_scc_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scc_components(spark, sf_dir, 0)
+
+
+def whole_condensation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return condensation_edges(spark, sf_dir, 0)
+
+
+def whole_redundant_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redundant_edges(spark, sf_dir, 0)
+
+
+def whole_transparent_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of any length: a shortest one has no more hops than there are parts."""
+    return transparent_projection(spark, sf_dir, 0, read(spark, sf_dir, "part").count() + 1)
+
+
+def whole_multi_root_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part is a root. Counted over the strong components and their closure: no row for each root and node."""
+    e = graph.cut(part_edges(spark, sf_dir), "edges")
+    roots = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("node")).distinct()
+    alone = roots.join(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct(), "node", "left_anti")
+    labels = graph.cut(graph.components(e).unionByName(alone.withColumn("component", F.col("node"))), "labels")
+    own = labels.join(roots, "node").groupBy("component").agg(F.count("*").alias("n"), F.min("node").alias("least"))
+    above = graph.closure(graph.condensation(e, labels)).select(F.col("src").alias("component"), F.col("dst").alias("to"))
+    above = above.union(labels.select("component", F.col("component").alias("to")).distinct())
+    found = above.join(own, "component").groupBy("to").agg(F.sum("n").alias("roots"), F.min("least").alias("least_root"))
+    return labels.join(found, F.col("component") == F.col("to")).select("node", "roots", "least_root")
+
+
+def whole_spanning_tree_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spanning_tree_depths(spark, sf_dir, 0)
+
+
+#: Over all of lineitem and part; no SQL, since DuckDB's recursive closure is too slow there. The tests hold them against brute force.
+WHOLE = (whole_multi_root_attribution, whole_scc_components, whole_condensation_edges, whole_redundant_edges, whole_transparent_projection, whole_spanning_tree_depths)
+
+QUERIES = {f.__name__: (f, sql) for f, sql in ((reach_parts, REACH), (shortest_path_len, PATHS), (multi_root_attribution, ATTRIBUTION), (scc_components, SCC), (condensation_edges, CONDENSATION), (redundant_edges, REDUNDANT), (transparent_projection, PROJECTION), (adjacency_stats, STATS), (topo_levels, TOPO), (spanning_tree_depths, TREE))} | {f.__name__: (f, None) for f in WHOLE}
