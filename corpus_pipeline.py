@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from provena.llm import decontam, linededup, minhash, packing, quality
 from provena.llm.common import materialize, table, tune
 
+#: Documents with so many hundredths of their shingles in common are near copies.
+NEAR_PERCENT = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules or the model reject go."""
@@ -31,7 +34,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The least document of each group of near copies stays; rows of one ``doc_id`` are one document."""
     tune(spark)
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    kept = minhash.near_duplicates(docs, percent=NEAR_PERCENT).where("kept").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 

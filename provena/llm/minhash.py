@@ -12,8 +12,9 @@
    the block. So no link that could join two components of a bucket is left out, while a group is never gathered in one task and its
    pairs are never rows.
 
-The bands find a pair of similarity 0.85 with probability 0.99999 (30 bands of 7 samples). A sketch passes a pair whose estimate is
-at least ``SLACK`` below the threshold, more than four standard errors of 210 samples.
+The bands find a pair of similarity 0.85 with probability 0.99999 (30 bands of 7 samples); at lower thresholds the same samples make
+more bands of fewer rows, so that at 0.80 (35 bands of 6) a pair is missed with probability 2.4e-5. A sketch passes a pair whose
+estimate is at least the slack below the threshold, more than four standard errors of 210 samples: ``SLACK`` at 0.85.
 
 Cases: a null text, or one without words, has no shingles, links with nothing and is kept. A text of one to four words is one
 shingle. Rows with one ``doc_id`` are one node. An empty table gives no rows. Other input columns are not read.
@@ -38,6 +39,17 @@ _FACTORS = (mix(np.arange(1, _K + 1, dtype=np.uint64)) >> np.uint64(32)).astype(
 _SALTS = mix(np.arange(1001, 1001 + _K, dtype=np.uint64))
 
 
+def band_rows(percent: int) -> int:
+    """Samples in a band, as many as miss a pair at the threshold with probability 3e-5 at most."""
+    missed = lambda rows: (1 - (percent / 100) ** rows) ** (_K // rows)
+    return next((rows for rows in range(ROWS, 1, -1) if missed(rows) <= 3e-5), 1)
+
+
+def slack(percent: int) -> float:
+    """``SLACK`` at 0.85, and as many standard errors elsewhere."""
+    return SLACK * max(1.0, (percent * (100 - percent) / (85 * 15)) ** 0.5)
+
+
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
     """The sorted distinct 64-bit codes of each text's shingles."""
     words = Words(texts, lower=True)
@@ -67,10 +79,11 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(bits, minlength=SKETCH_BITS) & 1).astype(np.uint8), bitorder="little").view("<i8")
 
 
-def band_keys(samples: np.ndarray) -> np.ndarray:
-    rows = samples.reshape(BANDS, ROWS).astype(np.uint64)
-    acc = mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(77))
-    for k in range(ROWS):
+def band_keys(samples: np.ndarray, size: int = ROWS) -> np.ndarray:
+    bands = _K // size
+    rows = samples[: bands * size].reshape(bands, size).astype(np.uint64)
+    acc = mix(np.arange(bands, dtype=np.uint64) + np.uint64(77))
+    for k in range(size):
         acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + rows[:, k])
     return acc.view(np.int64)
 
@@ -82,7 +95,7 @@ def most_flips(similarity: float) -> int:
     return int(SKETCH_BITS * (1 - (1 - 2 / SKETCH_BITS) ** differing) / 2) + 1
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, size: int = ROWS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, digests, bands, bits = [], [], [], []
@@ -91,7 +104,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 if len(codes):
                     samples = min_samples(codes)
                     digests.append(xxhash.xxh3_128_digest(codes.tobytes()))
-                    bands.append(band_keys(samples))
+                    bands.append(band_keys(samples, size))
                     bits.append(odd_sketch(samples))
                 else:
                     digests.append(None)
@@ -230,8 +243,8 @@ def _mixed(known: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``; ``percent`` is the similarity in hundredths."""
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    limit = most_flips(percent / 100 - SLACK)
-    rows = materialize(sketches(docs), "sketches")
+    limit = most_flips(percent / 100 - slack(percent))
+    rows = materialize(sketches(docs, band_rows(percent)), "sketches")
     classes = materialize(rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
     firsts = classes.select(F.col("node").alias("doc_id")).distinct().hint("merge")
     nodes = rows.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "bands", "sketch")
