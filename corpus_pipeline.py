@@ -14,6 +14,8 @@ from provena.llm.common import materialize, table, tune
 
 #: Documents with so many hundredths of their shingles in common are near copies.
 NEAR_PERCENT = 80
+#: Lines within so many edits, and so many hundredths of the shorter one's characters, are near-equal.
+LINE_EDITS, LINE_PERCENT = 3, 10
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +28,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-equal long lines the first occurrence stays. A document that loses all its text this way goes; the
     texts of the others shrink, and ``n_chars`` with them."""
     tune(spark)
-    out = linededup.drop_repeated_lines(docs)
+    out = linededup.drop_repeated_lines(docs, LINE_EDITS, percent=LINE_PERCENT)
     out = out.where("drops is null or text <> ''")
     return out.withColumn("n_chars", F.when(F.col("drops").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))).select(docs.columns)
 

@@ -118,24 +118,26 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), m - 1), init, step, lambda s: s["d"])
 
 
-def links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """All pairs ``a, b`` of ids of ``lines`` (of ``measured``) within ``threshold`` edits."""
+def links(lines: DataFrame, threshold: int = THRESHOLD, percent: int = 100) -> DataFrame:
+    """All pairs ``a, b`` of ids of ``lines`` (of ``measured``) within ``threshold`` edits and ``percent`` hundredths of the
+    shorter one's characters."""
     pairs = materialize(candidates(lines, threshold), "pairs")
     needed = materialize(lines.join(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().hint("merge"), "id", "left_semi").select("id", F.split("line", "").alias("chars")), "chars")
     rows = pairs.join(needed.toDF("a", "ca").hint("merge"), "a").join(needed.toDF("b", "cb").hint("merge"), "b")
-    return rows.where(banded_distance(F.col("ca"), F.col("cb"), threshold) <= threshold).select("a", "b")
+    most = F.least(F.lit(threshold), F.floor(F.size("ca") * percent / 100))
+    return rows.where(banded_distance(F.col("ca"), F.col("cb"), threshold) <= most).select("a", "b")
 
 
 def _code(line: str) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("line"), F.col(line)).alias("h2")]
 
 
-def repeated(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def repeated(docs: DataFrame, threshold: int = THRESHOLD, percent: int = 100) -> DataFrame:
     """``doc_id, drops``: the line numbers of each document that an earlier line of their class makes redundant."""
     places = occurrences(docs)
     lines = measured(places.groupBy("line").agg(F.min("place").alias("id"), F.count("*").alias("times")))
     lines = materialize(lines, "lines")
-    labels = components(materialize(links(lines, threshold), "links"))
+    labels = components(materialize(links(lines, threshold, percent), "links"))
     found = lines.join(labels.hint("merge"), F.col("id") == F.col("node"), "left").where("times > 1 or component is not null")
     found = materialize(found.select(*_code("line"), F.coalesce("component", "id").alias("first")), "repeated")
     rows = places.select("place", *_code("line")).join(found.hint("merge"), ["h1", "h2"]).where("place <> first")
@@ -143,11 +145,11 @@ def repeated(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("drops"))
 
 
-def drop_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, key: str = "doc_id", text: str = "text", percent: int = 100) -> DataFrame:
     """``docs`` with ``text`` less its dropped lines, and ``drops``, their numbers (null: none)."""
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     docs = docs.drop("drops", "__doc")  # the result's own names
-    drops = materialize(repeated(plain, threshold), "drops").withColumnRenamed("doc_id", "__doc")
+    drops = materialize(repeated(plain, threshold, percent), "drops").withColumnRenamed("doc_id", "__doc")
     rows = docs.join(drops.hint("merge"), F.col(key) == F.col("__doc"), "left").drop("__doc")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("drops", i)), "\n")
     kept = F.when(kept.rlike(r"\S"), kept).otherwise("")

@@ -1,7 +1,11 @@
 """Cases in which an operator or a pipeline stage once did less than its whole job."""
 
+import random
+
+import pytest
+
 import corpus_pipeline
-from provena.llm import minhash
+from provena.llm import linededup, minhash
 from tests.llm.test_operators import _classes, _sets, prose
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -36,3 +40,40 @@ def test_bands_find_a_pair_at_the_threshold():
         assert (1 - (percent / 100) ** size) ** (minhash._K // size) < 3e-5
         assert minhash.slack(percent) >= 4 * (percent / 100 * (1 - percent / 100) / minhash._K) ** 0.5
     assert (minhash.band_rows(85), minhash.slack(85)) == (minhash.ROWS, minhash.SLACK)
+
+
+def edited(r, text, n):
+    for _ in range(n):
+        at = r.randrange(len(text))
+        text = text[:at] + r.choice(["", "q", "é", text[at] + "w"]) + text[at + 1 :]
+    return text.strip()
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        last, row = row, [i]
+        for j, d in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (c != d)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("threshold", [2, 3])
+def test_line_join_equals_brute_force(spark, threshold):
+    r, rows = random.Random(threshold), set()
+    for k in range(25):
+        line = prose(k, r.choice([5, 6, 8, 15]))
+        rows |= {line, *(edited(r, line, n) for n in (1, 2, 3, 4))}
+    rows = list(enumerate(sorted(x for x in rows if len(x) >= 20)))
+    near = {(a, b): plain_distance(x, y) for a, x in rows for b, y in rows if a < b and abs(len(x) - len(y)) <= threshold}
+    for percent in (100, 10):
+        want = {p for p, d in near.items() if d <= min(threshold, min(len(rows[p[0]][1]), len(rows[p[1]][1])) * percent // 100)}
+        lines = linededup.measured(spark.createDataFrame(rows, "id long, line string"))
+        assert {(min(x), max(x)) for x in linededup.links(lines, threshold, percent).collect()} == want and any(near[p] == threshold for p in want)
+
+
+def test_line_dedup_stage_drops_lines_of_three_edits(spark, sf):
+    long = prose(1, 40)
+    rows = [(1, long + "\n" + prose(2, 40)), (2, prose(3, 40) + "\n" + long[:50] + "xyz" + long[53:]), (3, long[:50] + "vwxyz" + long[55:] + "\n" + prose(4, 40))]
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, documents(spark, rows), sf).collect()}
+    assert got == {1: rows[0][1], 2: prose(3, 40), 3: rows[2][1]}
