@@ -16,6 +16,8 @@ from provena.llm.common import materialize, table, tune
 NEAR_PERCENT = 80
 #: Lines within so many edits, and so many hundredths of the shorter one's characters, are near-equal.
 LINE_EDITS, LINE_PERCENT = 3, 10
+#: In near-dedup, texts that share a document id have ids of their own from here on.
+_OWN = 1 << 62
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,10 +36,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least document of each group of near copies stays; rows of one ``doc_id`` are one document."""
+    """The least document of each group of near copies stays. Rows of one ``doc_id`` are one document if their texts are equal; if
+    not, each text is a document of its own, behind those whose id is unique. Rows without a ``doc_id`` all stay."""
     tune(spark)
-    kept = minhash.near_duplicates(docs, percent=NEAR_PERCENT).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    code = F.xxhash64("doc_id", "text")
+    named = docs.where("doc_id is not null").withColumn("__node", F.col("doc_id").cast("long"))
+    several = named.groupBy("doc_id").agg(F.min(code).alias("x"), F.max(code).alias("y")).where("x <> y").select(F.col("doc_id").alias("__id"))
+    several = materialize(several, "ids")
+    if not several.isEmpty():
+        named = named.join(several.hint("merge"), F.col("doc_id") == F.col("__id"), "left")
+        own = code.bitwiseAND(F.lit(_OWN - 1)).bitwiseOR(F.lit(_OWN))
+        named = named.withColumn("__node", F.when(F.col("__id").isNull(), F.col("__node")).otherwise(own)).drop("__id")
+    kept = minhash.near_duplicates(named, key="__node", percent=NEAR_PERCENT).where("kept").select(F.col("doc_id").alias("__node")).distinct()
+    named = named.join(kept, "__node", "left_semi").dropDuplicates(["__node"])
+    return named.select(docs.columns).union(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

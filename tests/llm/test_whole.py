@@ -77,3 +77,10 @@ def test_line_dedup_stage_drops_lines_of_three_edits(spark, sf):
     rows = [(1, long + "\n" + prose(2, 40)), (2, prose(3, 40) + "\n" + long[:50] + "xyz" + long[53:]), (3, long[:50] + "vwxyz" + long[55:] + "\n" + prose(4, 40))]
     got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, documents(spark, rows), sf).collect()}
     assert got == {1: rows[0][1], 2: prose(3, 40), 3: rows[2][1]}
+
+
+def test_near_dedup_stage_keeps_texts_without_an_id_of_their_own(spark, sf):
+    a, b, c, d = (prose(k, 100) for k in range(4))
+    rows = [(None, a), (None, b), (None, None), (7, a), (7, a), (7, c), (3, d), (9, d), (9, changed(b, (50,))), (9, None), (1, b), (4, None), (4, None)]
+    got = sorted(((r.doc_id or 0, r.text or "") for r in corpus_pipeline.near_dedup(spark, documents(spark, rows), sf).collect()))
+    assert got == sorted([(0, a), (0, b), (0, ""), (7, a), (7, c), (3, d), (9, ""), (1, b), (4, "")])
