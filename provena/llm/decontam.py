@@ -6,7 +6,7 @@ stands in such a passage unchanged; an Aho-Corasick automaton finds all pieces i
 bit-parallel distance, with Python's integers as bit vectors of any length, finds where the whole item ends and begins.
 
 The automaton is built on each executor from the benchmark, sent in blocks of at most ``BLOCK_CHARS`` characters; each block is one
-pass over all texts. Items of fewer than ``MIN_CHARS`` characters are not searched for: they occur by chance.
+pass over all texts. Items of fewer than ``MIN_CHARS`` characters are searched for without edits and on word boundaries only.
 
 Cases: a null text or one without letters matches nothing. Null items are left out; equal items are searched for once and reported
 under each id. Repeated rows give repeated rows; an empty benchmark or table gives clean rows or none. Columns other than the named
@@ -49,7 +49,7 @@ def normal_with_places(text: str) -> tuple[str, list[int]]:
 
 
 def budget(item: str) -> int:
-    return max(1, len(item) * ERRORS_PERCENT // 100)
+    return max(1, len(item) * ERRORS_PERCENT // 100) if len(item) >= MIN_CHARS else 0
 
 
 def pieces(item: str) -> list[tuple[int, str]]:
@@ -115,14 +115,22 @@ class Finder:
         for end, (size, uses) in self.automaton.iter(text):
             for k, at in uses:
                 start, limit = end + 1 - size - at, budget(self.items[k])
-                low, high = max(0, start - limit), min(len(text), start + len(self.items[k]) + limit)
                 own = spans.setdefault(k, [])
+                if not limit:
+                    whole = (not start or text[start - 1] == " ") and text[end + 1 : end + 2] in ("", " ")
+                    if whole and not (own and start < own[-1][1]):
+                        own.append([start, end + 1, 0])
+                    continue
+                low, high = max(0, start - limit), min(len(text), start + len(self.items[k]) + limit)
                 if own and low <= own[-1][2] and high >= own[-1][0]:  # hits of one passage
                     own[-1][0], own[-1][1], own[-1][2] = min(own[-1][0], low), max(own[-1][1], high), max(own[-1][2], start + limit)
                 else:
                     own.append([low, high, start + limit])
         out = []
         for k, own in spans.items():
+            if not budget(self.items[k]):
+                out += [(k, 0, low, high) for low, high, _ in own]
+                continue
             for low, high, _ in own:
                 while low < high and (hit := match(self.items[k], text, low, high)):
                     out.append((k, *hit))
@@ -140,7 +148,7 @@ def blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[str, li
     size = 0
     for row in items.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).orderBy("id").toLocalIterator():
         item = normal(row.text)
-        if len(item) < MIN_CHARS:
+        if not item:
             continue
         if item not in block:
             if size and size + len(item) > BLOCK_CHARS:

@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from provena.llm import linededup, minhash
+from provena.llm import decontam, linededup, minhash
 from tests.llm.test_operators import _classes, _sets, prose
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -84,3 +84,12 @@ def test_near_dedup_stage_keeps_texts_without_an_id_of_their_own(spark, sf):
     rows = [(None, a), (None, b), (None, None), (7, a), (7, a), (7, c), (3, d), (9, d), (9, changed(b, (50,))), (9, None), (1, b), (4, None), (4, None)]
     got = sorted(((r.doc_id or 0, r.text or "") for r in corpus_pipeline.near_dedup(spark, documents(spark, rows), sf).collect()))
     assert got == sorted([(0, a), (0, b), (0, ""), (7, a), (7, c), (3, d), (9, ""), (1, b), (4, "")])
+
+
+def test_short_items_are_found_exactly_on_word_boundaries(spark):
+    rows = [(1, "Well: WHAT is 2 + 2? Indeed, what is 2, 2"), (2, "what is 2 22"), (3, "somewhat is 2 2"), (4, "what is 2 3"), (5, None), (6, "what is 2 2 what is 2 2"), (7, "so so so")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "What is 2+2?"), (8, "?!"), (9, "so so")], "item_id long, text string")
+    got = {r.doc_id: [(h.item_id, h.distance, rows[r.doc_id - 1][1][h.start : h.end]) for h in r.hits] for r in decontam.find_items(docs, bench).collect()}
+    assert got == {1: [(7, 0, "WHAT is 2 + 2"), (7, 0, "what is 2, 2")], 2: [], 3: [], 4: [], 5: [], 6: [(7, 0, "what is 2 2")] * 2, 7: [(9, 0, "so so")]}
+    assert sorted(r.doc_id for r in decontam.drop_contaminated(docs, bench).collect()) == [2, 3, 4, 5]
