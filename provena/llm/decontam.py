@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm.common import map_batches, materialize, table
+from provena.llm.common import map_batches, table
 
 ERRORS_PERCENT, MIN_CHARS, BLOCK_CHARS = 6, 40, 4_000_000
 _GAP = re.compile(r"[\W_]+")
@@ -160,7 +160,11 @@ def blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[str, li
     yield list(block.items())
 
 
-def _search(docs: DataFrame, block: list[tuple[str, list[int]]]) -> DataFrame:
+_HITS = "hits array<struct<item_id: long, distance: int, start: long, end: long>>"
+
+
+def _search(docs: DataFrame, block: list[tuple[str, list[int]]], last: bool) -> DataFrame:
+    """``docs`` (``doc_id, text`` and the ``hits`` of earlier blocks, if any) with this block's hits; without ``text`` after the last."""
     shared, token = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
 
@@ -171,8 +175,9 @@ def _search(docs: DataFrame, block: list[tuple[str, list[int]]]) -> DataFrame:
         finder, ids = _FINDERS[token], [x for _, x in shared.value]
         for batch in batches:
             out = []
-            for text in batch.column(1).to_pylist():
-                hits = []
+            earlier = batch.column(2).to_pylist() if batch.num_columns > 2 else [[]] * batch.num_rows
+            for text, known in zip(batch.column(1).to_pylist(), earlier, strict=True):
+                hits = list(known)
                 found = finder.search(normal(text)) if text else []
                 if found:
                     whole, places = normal_with_places(text)
@@ -181,24 +186,21 @@ def _search(docs: DataFrame, block: list[tuple[str, list[int]]]) -> DataFrame:
                         a, b = (places[a], places[b - 1] + 1) if shift == 0 else (-1, -1)
                         hits += [{"item_id": i, "distance": distance, "start": a, "end": b} for i in ids[k]]
                 out.append(sorted(hits, key=lambda h: (h["item_id"], h["start"])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["doc_id", "hits"])
+            columns = [batch.column(0)] if last else [batch.column(0), batch.column(1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, kind)], names=["doc_id", *([] if last else ["text"]), "hits"])
 
-    return map_batches(docs, run, "doc_id long, hits array<struct<item_id: long, distance: int, start: long, end: long>>")
+    return map_batches(docs, run, f"doc_id long, {_HITS}" if last else f"doc_id long, text string, {_HITS}")
 
 
 def find_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Per row of ``docs``: ``doc_id, hits``, every occurrence of an item with its distance and its code points in the text. One
-    narrow pass for a benchmark of one block; more blocks are joined by document."""
+    """Per row of ``docs``: ``doc_id, hits``, every occurrence of an item with its distance and its code points in the text. A
+    narrow pass for each block of the benchmark."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    out = None
-    for block in blocks(items, item_key, item_text):
-        own = _search(rows, block)
-        if out is None:
-            out = own
-        else:
-            both = out.union(own).select("doc_id", F.explode_outer("hits").alias("hit"))
-            out = materialize(both.groupBy("doc_id").agg(F.array_compact(F.array_sort(F.collect_set("hit"))).alias("hits")), "hits")
-    return out
+    todo = blocks(items, item_key, item_text)
+    block = next(todo)
+    for following in todo:
+        rows, block = _search(rows, block, False), following
+    return _search(rows, block, True)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:

@@ -93,3 +93,15 @@ def test_short_items_are_found_exactly_on_word_boundaries(spark):
     got = {r.doc_id: [(h.item_id, h.distance, rows[r.doc_id - 1][1][h.start : h.end]) for h in r.hits] for r in decontam.find_items(docs, bench).collect()}
     assert got == {1: [(7, 0, "WHAT is 2 + 2"), (7, 0, "what is 2, 2")], 2: [], 3: [], 4: [], 5: [], 6: [(7, 0, "what is 2 2")] * 2, 7: [(9, 0, "so so")]}
     assert sorted(r.doc_id for r in decontam.drop_contaminated(docs, bench).collect()) == [2, 3, 4, 5]
+
+
+def test_many_blocks_keep_repeated_rows_apart(spark, monkeypatch):
+    items = [prose(20 + k, 12) for k in range(3)]
+    texts = [(1, f"x {items[0]} y"), (1, f"x {items[0]} y"), (1, f"{items[2]} z {items[1]}"), (None, items[0]), (None, items[1]), (None, None), (2, "clean")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame([*enumerate(items), (9, items[0])], "item_id long, text string")
+    hits = lambda: sorted(((r.doc_id or 0, [(h.item_id, h.distance, h.start, h.end) for h in r.hits]) for r in decontam.find_items(docs, bench).collect()))
+    one = hits()
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", 60)
+    assert len(list(decontam.blocks(bench, "item_id", "text"))) >= 3
+    assert hits() == one and [[x[0] for x in h] for _, h in one] == [[], [0, 9], [1], [0, 9], [0, 9], [1, 2], []]
