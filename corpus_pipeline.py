@@ -27,10 +27,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-equal long lines the first occurrence stays. A document that loses all its text this way goes; the
+    """Of each class of near-equal long lines, and of equal ones of 20 characters and fewer words, the first occurrence stays. A document that loses all its text this way goes; the
     texts of the others shrink, and ``n_chars`` with them."""
     tune(spark)
-    out = linededup.drop_repeated_lines(docs, LINE_EDITS, percent=LINE_PERCENT)
+    out = linededup.drop_repeated_lines(docs, LINE_EDITS, percent=LINE_PERCENT, min_words=1)
     out = out.where("drops is null or text <> ''")
     return out.withColumn("n_chars", F.when(F.col("drops").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))).select(docs.columns)
 

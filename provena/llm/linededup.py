@@ -29,15 +29,15 @@ PLACES = 1 << 24  # shifted back by 24 bits
 _LETTERS = "etaonish"
 
 
-def eligible(line: Column) -> Column:
-    return (F.char_length(line) >= MIN_CHARS) & line.rlike(r"(\S+\s+){%d}\S" % (MIN_WORDS - 1))
+def eligible(line: Column, min_words: int = MIN_WORDS) -> Column:
+    return (F.char_length(line) >= MIN_CHARS) & line.rlike(r"(\S+\s+){%d}\S" % (min_words - 1))
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """``place, line`` of the lines that are compared."""
+def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``place, line`` of the lines that are compared, or of those with ``min_words`` words at least."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = lines.select((F.col("doc_id") * PLACES + F.col("pos")).alias("place"), F.trim("line").alias("line"))
-    return lines.where(eligible(F.col("line")))
+    return lines.where(eligible(F.col("line"), min_words))
 
 
 def _segments(n: Column, threshold: int) -> list[tuple[Column, Column]]:
@@ -132,12 +132,14 @@ def _code(line: str) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("line"), F.col(line)).alias("h2")]
 
 
-def repeated(docs: DataFrame, threshold: int = THRESHOLD, percent: int = 100) -> DataFrame:
-    """``doc_id, drops``: the line numbers of each document that an earlier line of their class makes redundant."""
-    places = occurrences(docs)
+def repeated(docs: DataFrame, threshold: int = THRESHOLD, percent: int = 100, min_words: int = MIN_WORDS) -> DataFrame:
+    """``doc_id, drops``: the line numbers of each document that an earlier line of their class makes redundant. Lines of at
+    least ``min_words`` but under ``MIN_WORDS`` words only count as repeats where they are equal."""
+    places = occurrences(docs, min_words)
     lines = measured(places.groupBy("line").agg(F.min("place").alias("id"), F.count("*").alias("times")))
     lines = materialize(lines, "lines")
-    labels = components(materialize(links(lines, threshold, percent), "links"))
+    compared = lines.where(eligible(F.col("line"))) if min_words < MIN_WORDS else lines
+    labels = components(materialize(links(compared, threshold, percent), "links"))
     found = lines.join(labels.hint("merge"), F.col("id") == F.col("node"), "left").where("times > 1 or component is not null")
     found = materialize(found.select(*_code("line"), F.coalesce("component", "id").alias("first")), "repeated")
     rows = places.select("place", *_code("line")).join(found.hint("merge"), ["h1", "h2"]).where("place <> first")
@@ -145,11 +147,11 @@ def repeated(docs: DataFrame, threshold: int = THRESHOLD, percent: int = 100) ->
     return rows.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("drops"))
 
 
-def drop_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, key: str = "doc_id", text: str = "text", percent: int = 100) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, key: str = "doc_id", text: str = "text", percent: int = 100, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with ``text`` less its dropped lines, and ``drops``, their numbers (null: none)."""
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     docs = docs.drop("drops", "__doc")  # the result's own names
-    drops = materialize(repeated(plain, threshold, percent), "drops").withColumnRenamed("doc_id", "__doc")
+    drops = materialize(repeated(plain, threshold, percent, min_words), "drops").withColumnRenamed("doc_id", "__doc")
     rows = docs.join(drops.hint("merge"), F.col(key) == F.col("__doc"), "left").drop("__doc")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("drops", i)), "\n")
     kept = F.when(kept.rlike(r"\S"), kept).otherwise("")

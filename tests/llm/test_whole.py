@@ -105,3 +105,9 @@ def test_many_blocks_keep_repeated_rows_apart(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_CHARS", 60)
     assert len(list(decontam.blocks(bench, "item_id", "text"))) >= 3
     assert hits() == one and [[x[0] for x in h] for _, h in one] == [[], [0, 9], [1], [0, 9], [0, 9], [1, 2], []]
+
+
+def test_line_dedup_stage_drops_exact_repeats_of_few_words(spark, sf):
+    rows = [(1, "All rights reserved.\n" + prose(1, 30)), (2, prose(2, 30) + "\n All rights reserved. \nshort"), (3, "All rights reserved!\nshort"), (4, "All rights reserved.")]
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, documents(spark, rows), sf).collect()}
+    assert got == {1: rows[0][1], 2: prose(2, 30) + "\nshort", 3: rows[2][1]}
