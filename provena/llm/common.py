@@ -1,11 +1,14 @@
 """Shared plumbing of the training-data operators: table access, the shared folder, word codes and model inputs.
 
-Intermediate tables go to the folder named by ``spark.checkpoint.dir`` (set by the cluster; only where it is unset, as in
-tests, a local folder is used), so that every executor can read them again after another one is lost.
+Intermediate tables go to the folder named by ``spark.checkpoint.dir``, which the cluster sets, so that every executor can read
+them again after another one is lost. Only a session whose driver and executors are one process may go without: it gets a folder of
+its own. Tables that a later one replaces are removed with ``discard``.
 """
 
 from __future__ import annotations
 
+import pickle
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,18 +19,26 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Arrow batches handed to Python hold at most this many rows and bytes, whatever the length of the texts.
 BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Bounds the Arrow batches by bytes as well as rows, so a batch of very long texts stays small, and frees shuffles early."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+#: Session options that the operators want, as option: wanted value. A session's own value stays.
+OPTIONS = {
+    # Arrow batches bounded by bytes as well as rows, so a batch of very long texts stays small
+    "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES),
     # a job's shuffle files go when it ends: what later jobs need is written to the shared folder
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    spark.conf.set("spark.sql.shuffleDependency.fileCleanup.enabled", "true")
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Sets ``OPTIONS`` that the caller has not set."""
+    for key in OPTIONS.keys() - spark.conf.getAll.keys():
+        spark.conf.set(key, OPTIONS[key])
     return spark
 
 
@@ -39,6 +50,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="provena-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -49,10 +62,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
 
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of tables from ``materialize`` that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     tune(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
@@ -127,10 +149,24 @@ def windows(codes: np.ndarray, size: int) -> np.ndarray:
     return mix(acc)
 
 
-def bounded_labels(spark: SparkSession, sf_dir: str, column: str, bound: int) -> list:
-    """At most ``bound`` labelled documents for fitting a classifier: those least by a hash of their id, the same in any run."""
-    labels = table(spark, sf_dir, "labels").where(F.col(column).isNotNull()).groupBy("doc_id").agg(F.max(column).alias("label"))
-    chosen = labels.select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = docs.join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull()).collect()
-    return sorted(((r.doc_id, r.text, int(r.label)) for r in rows))
+def bounded_labels(spark: SparkSession, sf_dir: str, columns: tuple[str, ...], bound: int) -> DataFrame:
+    """``doc_id, text`` and the label ``columns`` of at most ``bound`` labelled documents for fitting a classifier: those least by a
+    hash of their id, the same in any run. Of several labels of one id the greatest counts, of several texts the least."""
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(*[F.max(c).cast("long").alias(c) for c in columns])
+    labels = labels.where(" and ".join(f"{c} is not null" for c in (*columns, "doc_id")))
+    chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string").alias("text"))
+    docs = docs.join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull())
+    return docs.groupBy("doc_id", *columns).agg(F.min("text").alias("text")).select("doc_id", "text", *columns)
+
+
+def fitted(rows: DataFrame, train: Callable[[list[tuple]], object]) -> object:
+    """What ``train`` makes of the rows (a bounded sample), in order of their first column. One executor task gathers and fits; the
+    driver gets the fitted model alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(sorted(found)))], pa.binary())], names=["model"])
+
+    done = map_batches(rows.repartition(1), run, "model binary").collect()
+    return pickle.loads(done[0].model)

@@ -55,21 +55,31 @@ class Texts:
     def __init__(self, words: Words, pool: str):
         n = len(words.starts) - 1
         counts = np.diff(words.starts)
-        self.text, self.word = np.repeat(np.arange(n, dtype=np.int32), counts), words.index
+        self.text, self.word = np.repeat(np.arange(n), counts), words.index.astype(np.intp)
         share = np.maximum(counts, 1) if pool == "mean" else np.sqrt(np.maximum(counts, 1))
         self.value = np.repeat((1 / share).astype(np.float32), counts)
         self.n = n
         self.features, self.starts = word_features(words.distinct)
+        self.by_feature: tuple | None = None
 
     def word_scores(self, weights: np.ndarray) -> np.ndarray:
-        return sums(weights[self.features].astype(np.float64), self.starts)
+        """Every word has a feature, so no run is empty."""
+        return np.add.reduceat(weights.astype(np.float32)[self.features], self.starts[:-1]) if len(self.features) else np.zeros(0)
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.text, self.value * self.word_scores(weights)[self.word], minlength=self.n)
 
     def gradient(self, residual: np.ndarray) -> np.ndarray:
-        by_word = np.bincount(self.word, self.value * residual[self.text], minlength=len(self.starts) - 1)
-        return np.bincount(self.features, np.repeat(by_word, np.diff(self.starts)), minlength=DIM)
+        if self.by_feature is None:  # the words of each feature, one feature after the other
+            owner = np.repeat(np.arange(len(self.starts) - 1, dtype=np.int32), np.diff(self.starts))
+            order = np.argsort(self.features, kind="stable")
+            self.by_feature = (owner[order], *np.unique(self.features[order], return_index=True))
+        by_word = np.bincount(self.word, self.value * residual[self.text], minlength=len(self.starts) - 1).astype(np.float32)
+        owner, present, begin = self.by_feature
+        out = np.zeros(DIM)
+        if len(present):
+            out[present] = np.add.reduceat(by_word[owner], begin)
+        return out
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

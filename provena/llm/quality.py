@@ -1,11 +1,12 @@
 """Quality rules: counted base rules, then a calibrated hashed n-gram model trained on labelled quality rows.
 
-The model is fitted on at most ``SAMPLE`` labelled documents (those least by a hash of their id), calibrated by Platt's method on
-scores of ``FOLDS`` held-out folds, broadcast (a fixed ``linear.DIM`` weights) and applied in Arrow batches against the fixed
-``THRESHOLD``. Without labels of both kinds the verdict is the base rules' own.
+The model is fitted in one executor task on at most ``SAMPLE`` labelled documents (those least by a hash of their id), calibrated by
+Platt's method on scores of ``FOLDS`` held-out folds, broadcast (a fixed ``linear.DIM`` weights) and applied in Arrow batches against
+the fixed ``THRESHOLD``. Character n-grams are runs of UTF-8 bytes. Without labels of both kinds the verdict is the base rules' own.
 
-Cases: a null text counts as empty, has no words and fails the base rules. Repeated rows give repeated rows. Other input columns
-are not read by ``quality_rows`` and pass through ``keep_quality``.
+Cases: a null text counts as empty, has no words and fails the base rules. Repeated rows give repeated rows, and a null ``doc_id``
+stays null. A probability equal to ``THRESHOLD`` keeps. A text of any length is counted and scored whole; a batch holds a few of the
+longest only. An empty table gives no rows. Other input columns are not read by ``quality_rows`` and pass through ``keep_quality``.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm.common import Words, bounded_labels, map_batches, table, whole, windows
+from provena.llm.common import Words, bounded_labels, fitted, map_batches, table, whole, windows
 from provena.llm.linear import Texts, fit, platt, sigmoid, sums
 
-SAMPLE, FOLDS, THRESHOLD, WINDOW = 2_500, 2, 0.5, 8
+SAMPLE, FOLDS, THRESHOLD, WINDOW = 3_000, 2, 0.5, 8
 #: Fixed values of the base rules.
 MIN_WORDS, MAX_REPEATED_PERCENT, SYMBOLS = 20, 30, "[#*$%&|<>]"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -100,7 +101,7 @@ def train(rows: list[tuple[int, str, int]]) -> tuple | None:
 
 
 def quality_rows(docs: DataFrame, model: tuple | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: ``doc_id``, the base counts, ``base_failed``, ``probability`` of good quality and ``kept``."""
+    """Per row: ``doc_id``, the base counts, ``base_failed``, ``kept`` and ``probability`` of good quality."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,10 +114,10 @@ def quality_rows(docs: DataFrame, model: tuple | None, key: str = "doc_id", text
             else:
                 w, v, a, b = shared.value
                 p = sigmoid(a * (Texts(words, "mean").scores(w) + extra_columns(counts) @ v) + b)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c.astype(np.int64)) for c in counts.values()), pa.array(bad), pa.array(p), pa.array(~bad & (p >= THRESHOLD))], names=["doc_id", *COUNTS, "base_failed", "probability", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c.astype(np.int64)) for c in counts.values()), pa.array(bad), pa.array(~bad & (p >= THRESHOLD)), pa.array(p)], names=["doc_id", *COUNTS, "base_failed", "kept", "probability"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return map_batches(rows, run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, probability double, kept boolean")
+    return map_batches(rows, run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, probability double")
 
 
 def keep_quality(docs: DataFrame, model: tuple | None, text: str = "text") -> DataFrame:
@@ -138,7 +139,7 @@ def keep_quality(docs: DataFrame, model: tuple | None, text: str = "text") -> Da
 
 
 def quality_model(spark: SparkSession, sf_dir: str) -> tuple | None:
-    return train(bounded_labels(spark, sf_dir, "quality", SAMPLE))
+    return fitted(bounded_labels(spark, sf_dir, ("quality",), SAMPLE), train)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

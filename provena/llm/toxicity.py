@@ -1,21 +1,22 @@
 """Toxicity by classifier chains over hashed n-gram models.
 
-The chain predicts ``insult``, ``severe`` and ``toxic`` in this order; each later linear model also reads the earlier categories'
-log-odds, and is trained on those that models of the other folds gave (out of fold), as it will meet them in use. The label table
-has only ``toxic``; the other two categories are derived from it inside the training sample: ``insult`` is a toxic text with a
-telling word, ``severe`` one with ``SEVERE`` or more of them. Telling words are those whose share of toxic texts exceeds their
-share of other texts ``TELLING``-fold.
+The chain predicts ``low_quality``, ``toxic`` and ``toxic_low_quality`` in this order; each later linear model also reads the earlier
+categories' log-odds, and is trained on those that models of the other folds gave (out of fold), as it will meet them in use. All three
+come from the label table alone (``quality``, ``toxic`` and the conjunction of both); it has no finer kinds of toxicity. A category of
+which the sample has one value only is predicted as that value.
 
-Fitted on at most ``SAMPLE`` labelled documents (those least by a hash of their id); the threshold for each category maximises F1
-on the out-of-fold predictions. Weights are broadcast: three times a fixed ``linear.DIM``.
+Fitted in one executor task on at most ``SAMPLE`` labelled documents (those least by a hash of their id). Calibration and thresholds
+come from different halves of the out-of-fold predictions: Platt's method on one half, the threshold of the best F1 on the other.
+Weights are broadcast: three times a fixed ``linear.DIM``.
 
 Cases: a null text counts as empty; a text without words is not toxic, with probability 0. Without labels of both kinds nothing is
-toxic. Repeated rows give repeated rows. Other input columns are not read.
+toxic. A probability equal to its threshold counts as the category. A text of any length is scored whole; a batch holds a few of the
+longest only. Repeated rows give repeated rows, a null ``doc_id`` stays null, an empty table gives no rows. Other input columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm.common import Words, bounded_labels, cut, map_batches, table
-from provena.llm.linear import Texts, fit, platt, sigmoid, sums
+from provena.llm.common import Words, bounded_labels, fitted, map_batches, table
+from provena.llm.linear import Texts, fit, platt, sigmoid
 
-SAMPLE, FOLDS, SEVERE, TELLING, SUPPORT = 3_000, 2, 4, 25, 5
-CATEGORIES = ("insult", "severe", "toxic")
-_SETTINGS = {"l2": 1e-5, "rounds": 70, "rate": 0.1}
+SAMPLE, FOLDS = 4_000, 2
+CATEGORIES = ("low_quality", "toxic", "toxic_low_quality")
+_SETTINGS = {"l2": 1e-5, "rounds": 50, "rate": 0.3}
 
 
 def base_columns(words: Words) -> np.ndarray:
@@ -36,21 +37,6 @@ def base_columns(words: Words) -> np.ndarray:
     return np.stack([np.log1p(n) / 5, np.ones(len(n))], axis=1)
 
 
-def derived_labels(words: Words, toxic: np.ndarray) -> dict[str, np.ndarray]:
-    counts = np.diff(words.starts)
-    text = np.repeat(np.arange(len(counts)), counts)
-    lower = [w.lower().strip(b".,;:!?#$%&*|\"'()") for w in cut(words.distinct)]
-    numbers: dict[bytes, int] = {}
-    index = np.array([numbers.setdefault(w, len(numbers)) for w in lower], dtype=np.int64)[words.index]
-    seen = np.unique(text * len(numbers) + index)
-    owner, word = np.divmod(seen, max(1, len(numbers)))
-    bad = np.bincount(word, toxic[owner], minlength=len(numbers))
-    good = np.bincount(word, minlength=len(numbers)) - bad
-    telling = (bad >= SUPPORT) & ((bad + 0.5) / (toxic.sum() + 1) > TELLING * (good + 0.5) / ((1 - toxic).sum() + 1))
-    n = sums(telling[index].astype(np.int64), words.starts)
-    return {"insult": ((toxic > 0) & (n > 0)).astype(float), "severe": ((toxic > 0) & (n >= SEVERE)).astype(float), "toxic": toxic}
-
-
 def _best_threshold(p: np.ndarray, labels: np.ndarray) -> float:
     order = np.argsort(-p, kind="stable")
     hits = np.cumsum(labels[order])
@@ -60,24 +46,30 @@ def _best_threshold(p: np.ndarray, labels: np.ndarray) -> float:
     return float(min(max((p[order[k]] + after) / 2, 0.05), 0.95))
 
 
-def train(rows: list[tuple[int, str, int]]) -> list[tuple] | None:
-    """One ``(weights, extra weights, a, b, threshold)`` for each category, or None without both labels."""
-    toxic = np.array([r[2] for r in rows], dtype=float)
+def train(rows: list[tuple[int, str, int, int]]) -> list[tuple] | None:
+    """One ``(weights, extra weights, a, b, threshold)`` for each category from ``(doc_id, text, quality, toxic)`` rows, or None if all
+    are toxic or none is."""
+    toxic, bad = np.array([r[3] for r in rows], dtype=float), np.array([1 - r[2] for r in rows], dtype=float)
     if len(set(toxic.tolist())) < 2:
         return None
     words = Words(pa.array([r[1] for r in rows], pa.large_string()))
-    texts, extra, labels = Texts(words, "mean"), base_columns(words), derived_labels(words, toxic)
+    texts, extra = Texts(words, "mean"), base_columns(words)
     fold, chain = np.arange(len(rows)) % FOLDS, []
-    for category in CATEGORIES:
-        y, held = labels[category], np.zeros(len(rows))
+    half = np.arange(len(rows)) // FOLDS % 2 == 0  # calibration; the other half chooses the threshold
+    for y in (bad, toxic, bad * toxic):
         if len(set(y.tolist())) < 2:
-            y = toxic
-        for k in range(FOLDS):
-            w, v = fit(texts, extra, y, (fold != k).astype(float), **_SETTINGS)
-            held[fold == k] = (texts.scores(w) + extra @ v)[fold == k]
-        a, b = platt(held, y)
-        w, v = fit(texts, extra, y, np.ones(len(rows)), **_SETTINGS)
-        chain.append((w.astype(np.float32), v, a, b, _best_threshold(sigmoid(a * held + b), y)))
+            w, v, a, b, threshold = np.zeros(1), np.zeros(extra.shape[1]), 0.0, 30.0 if y[0] else -30.0, 0.5
+            held = np.zeros(len(rows))
+        else:
+            held, w, v = np.zeros(len(rows)), 0.0, 0.0
+            for k in range(FOLDS):
+                own, more = fit(texts, extra, y, (fold != k).astype(float), **_SETTINGS)
+                held[fold == k] = (texts.scores(own) + extra @ more)[fold == k]
+                w, v = w + own / FOLDS, v + more / FOLDS
+            # the scores of the folds' mean are as spread out as those that are calibrated
+            a, b = platt(held[half], y[half])
+            threshold = _best_threshold(sigmoid(a * held + b)[~half], y[~half])
+        chain.append((w.astype(np.float32), v, a, b, threshold))
         extra = np.concatenate([np.clip(a * held + b, -6, 6)[:, None], extra], axis=1)
     return chain
 
@@ -95,7 +87,7 @@ def toxicity(docs: DataFrame, chain: list[tuple] | None, key: str = "doc_id", te
             for w, v, a, b, threshold in shared.value or [(None, None, 0, 0, 1)] * len(CATEGORIES):
                 p = np.zeros(batch.num_rows)
                 if w is not None:
-                    z = a * (texts.scores(w) + extra @ v) + b
+                    z = a * ((texts.scores(w) if len(w) > 1 else 0) + extra @ v) + b
                     extra = np.concatenate([np.clip(z, -6, 6)[:, None], extra], axis=1)
                     p = np.where(some, sigmoid(z), 0.0)
                 out += [pa.array(np.round(p, 6)), pa.array(some & (p >= threshold))]
@@ -106,4 +98,4 @@ def toxicity(docs: DataFrame, chain: list[tuple] | None, key: str = "doc_id", te
 
 
 def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity(table(spark, sf_dir, "documents"), train(bounded_labels(spark, sf_dir, "toxic", SAMPLE)))
+    return toxicity(table(spark, sf_dir, "documents"), fitted(bounded_labels(spark, sf_dir, ("quality", "toxic"), SAMPLE), train))
