@@ -5,22 +5,23 @@ has ``f`` free places, so the tightest bin that takes a piece is the lowest set
 are open, the fullest closes. The bins that a partition still has open at its end are packed once more, whole, with those of
 other partitions, so the loss doesn't grow with the number of partitions.
 
-Cases: a null text counts as empty; with the separator every document has at least one id. Repeated rows are packed as often
-as they come. An empty table gives no rows. Further input columns pass through ``pack`` unchanged; a clash with the columns
-that it adds (``sequence_id``, ``offset``) is resolved in favour of the added ones.
+Cases: a null text counts as empty; with the separator every document has at least one id. A null ``doc_id`` stays null. Repeated
+rows are packed as often as they come. Of bins with equal free space the one put there last takes the piece; any is as good. Very long
+texts become many pieces, one batch of texts of bounded bytes at a time. An empty table gives no rows. Further input columns pass
+through ``pack`` unchanged, but for ``sequence_id`` and ``offset``, which it replaces, and names that begin with ``__pack_``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provena.llm.common import map_batches, materialize, table
+from provena.llm.common import map_batches, materialize, table, tune
 from provena.llm.tokens import encoder, tokenizer_path
 
 CAPACITY, OPEN_BINS, SEPARATOR = 2048, 96, 0
@@ -69,51 +70,71 @@ class OpenBins:
         return bin_, self.capacity - free, closed
 
 
-def _packer(length: str, capacity: int, limit: int, columns: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _packer(length: str, capacity: int, limit: int, schema: T.StructType):
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         bins = OpenBins(capacity, limit)
         base = TaskContext.get().partitionId() << 33
-        held: dict[int, list] = {}
+        held: dict[int, list[tuple]] = {}  # rows of earlier batches in open bins
         left: dict[int, int] = {}
-        for frame in batches:
-            rows: list = []
-            for row in frame.itertuples(index=False, name=None):
-                size = int(row[columns.index(length)])
-                if not 0 < size <= capacity:
+        kinds: list[pa.DataType] = []
+
+        def rows(found: list[tuple], is_open: bool) -> pa.RecordBatch:
+            columns = zip(*found, strict=True)
+            return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), pa.array([is_open] * len(found))], names=names)
+
+        for batch in batches:
+            kinds = [*batch.schema.types, pa.int64(), pa.int64()]
+            bin_of, at = np.empty(batch.num_rows, np.int64), np.empty(batch.num_rows, np.int64)
+            here: dict[int, list[int]] = {}
+            closed_rows: list[int] = []
+            old: list[tuple] = []
+            for k, size in enumerate(batch.column(names.index(length)).to_pylist()):
+                if size is None or not 0 < size <= capacity:
                     raise ValueError(f"a piece of {size} ids does not fit a sequence of {capacity}")
                 bin_, offset, closed = bins.place(size)
-                held.setdefault(bin_, []).append((*row, base + bin_, offset, False))
+                bin_of[k], at[k] = base + bin_, offset
+                here.setdefault(bin_, []).append(k)
                 left[bin_] = capacity - offset - size
                 for done in {closed, bin_ if left[bin_] == 0 else None} - {None}:
-                    rows += held.pop(done)
+                    closed_rows += here.pop(done, [])
+                    old += held.pop(done, [])
                     del left[done]
-            yield pd.DataFrame(rows, columns=[*columns, "sequence_id", "offset", "open"])
-        rows = [(*row[:-1], True) for kept in held.values() for row in kept]
-        yield pd.DataFrame(rows, columns=[*columns, "sequence_id", "offset", "open"])
+            taken = batch.take(pa.array(closed_rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(bin_of[closed_rows]), pa.array(at[closed_rows]), pa.array([False] * len(closed_rows), pa.bool_())], names=names)
+            if old:
+                yield rows(old, False)
+            kept = [k for own in here.values() for k in own]
+            for k, row in zip(kept, zip(*(c.to_pylist() for c in batch.take(pa.array(kept, pa.int64())).columns), strict=True), strict=True):
+                held.setdefault(int(bin_of[k]) - base, []).append((*row, int(bin_of[k]), int(at[k])))
+        if held:
+            yield rows([row for own in held.values() for row in own], True)
 
     return run
 
 
 def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces of 1 to ``capacity`` ids; two narrow passes and one join of left-overs."""
-    spark = pieces.sparkSession
-    pieces = pieces.drop("sequence_id", "offset", "open")
+    tune(pieces.sparkSession)
+    pieces = pieces.drop("sequence_id", "offset")
     columns = pieces.columns
-    added = [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("open", T.BooleanType())]
+    added = [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("__pack_open", T.BooleanType())]
     schema = T.StructType([*pieces.schema.fields, *added])
-    first = materialize(pieces.mapInPandas(_packer(length, capacity, open_bins, columns), schema), "packed")
-    left = first.where("open").groupBy("sequence_id").agg(F.sum(length).alias("length"))
+    first = materialize(pieces.mapInArrow(_packer(length, capacity, open_bins, schema), schema), "packed")
+    left = first.where("__pack_open").groupBy("sequence_id").agg(F.sum(length).alias("length"))
     tasks = max(1, -(-pieces.rdd.getNumPartitions() // FAN_IN))
-    again = left.withColumnRenamed("sequence_id", "old_id").repartition(tasks)
-    moved = again.mapInPandas(_packer("length", capacity, open_bins, ["old_id", "length"]), "old_id long, length long, sequence_id long, offset long, open boolean")
+    again = left.withColumnRenamed("sequence_id", "__pack_old").repartition(tasks)
+    schema = T.StructType([*again.schema.fields, *added])
+    moved = again.mapInArrow(_packer("length", capacity, open_bins, schema), schema)
     # ids of the second round are negative: none is in use yet
-    moved = materialize(moved.select("old_id", (-1 - F.col("sequence_id")).alias("new_id"), F.col("offset").alias("shift")), "merged")
-    rest = first.where("open").join(moved, F.col("sequence_id") == F.col("old_id"))
-    rest = rest.withColumn("sequence_id", F.col("new_id")).withColumn("offset", F.col("offset") + F.col("shift"))
+    moved = materialize(moved.select("__pack_old", (-1 - F.col("sequence_id")).alias("__pack_new"), F.col("offset").alias("__pack_shift")), "merged")
+    rest = first.where("__pack_open").join(moved, F.col("sequence_id") == F.col("__pack_old"))
+    rest = rest.withColumn("sequence_id", F.col("__pack_new")).withColumn("offset", F.col("offset") + F.col("__pack_shift"))
     names = [*columns, "sequence_id", "offset"]
-    return first.where("not open").select(names).unionByName(rest.select(names))
+    return first.where("not __pack_open").select(names).unionByName(rest.select(names))
 
 
 def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, separator: int = SEPARATOR, capacity: int = CAPACITY) -> DataFrame:

@@ -2,12 +2,14 @@
 
 The vocabulary lower-cases, drops white space and never merges across it, nor between a letter and a mark that follows it, so
 a text's ids are the ids of its words and trailing marks in order. The library encodes each new one once; a bounded table
-gives the ids of the others.
+gives the ids of the others. Words that may hold a special token go to the library whole. Of a vocabulary file with another splitter,
+whole texts go to the library.
 """
 
 from __future__ import annotations
 
 import gc
+import json
 import os
 import re
 
@@ -24,6 +26,9 @@ _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ž]+")
 #: The pieces that the vocabulary file's splitter makes of such a word in lower case. Fixed values of that file.
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zßà-öø-ž]+|[0-9]|[^a-zßà-öø-ž0-9]+")
+#: What the file says of its splitter and its normalisation where all this holds. Fixed values of that file.
+_SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMAL = ["NFC", "Replace", "Lowercase"]
 _KEPT: dict[str, WordEncoder] = {}
 
 
@@ -47,6 +52,11 @@ class WordEncoder:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        said = json.loads(self.tokenizer.to_str())
+        split = (said["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
+        normal = [x["type"] for x in (said["normalizer"] or {}).get("normalizers", [])]
+        #: whether words and marks have ids of their own
+        self.by_word = split == _SPLITTER and normal == _NORMAL and said["model"].get("end_of_word_suffix") == "</w>"
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -85,14 +95,18 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch of texts in order, and where each text's ids start (one more for the end)."""
+        if not self.by_word:
+            every = [self._ids(x.as_py() or "") for x in texts]
+            return np.concatenate([np.empty(0, "<u4"), *every]), np.cumsum([0, *map(len, every)])
         was = gc.isenabled()
         gc.disable()  # many small objects and no cycles
         try:
             batch = Words(texts)
             words = batch.distinct.cast(pa.large_string())
-            low = pc.if_else(pc.match_substring(words, "<|"), words, pc.ascii_lower(words))
+            special = pc.match_substring(words, "<|")
+            low = pc.if_else(special, words, pc.ascii_lower(words))
             base = pc.ascii_rtrim(low, characters=_MARKS)
-            plain = pc.ascii_is_alpha(base)
+            plain = pc.and_not(pc.ascii_is_alpha(base), special)
             heads = pc.if_else(plain, base, low).dictionary_encode()
             tails = pc.if_else(plain, pc.ascii_ltrim(low, characters=_LETTERS), "").dictionary_encode()
             parts = cut(heads.dictionary) + cut(tails.dictionary)
