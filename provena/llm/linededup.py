@@ -1,18 +1,21 @@
 """Near-duplicate lines, in DataFrame operations alone.
 
-Distinct lines within ``THRESHOLD`` edits of each other are linked by a segment-partition join: a line is cut into THRESHOLD + 1
-segments, of which one must survive in any line so near, at a place that lengths and edits bound. Index rows (length, segment
-number, segment) meet the substrings that a line at least as long may hold them at; the counts of eight letters, which an edit changes by
-two in all at most, are compared in the join, so a common segment costs no rows. Survivors are verified by a banded bit-parallel
-edit distance, folded over the characters with 64-bit columns. Linked lines form classes; of each class the first occurrence (by
-document, then line) stays and all others are dropped.
-
-Only lines of at least ``MIN_CHARS`` characters and ``MIN_WORDS`` words, without outer white space, are compared: shorter ones
-repeat by chance. Lines keep their text.
-
-Cases: a null or empty text has one empty line and keeps it. Repeated rows are later occurrences of the same lines, so nothing
-long of them stays; rows of one ``doc_id`` share their places. A document of which nothing but white space stays has an empty text.
-An empty table gives no rows. Other input columns pass through ``drop_repeated_lines``. Document ids beyond 2**39 raise an error.
+Distinct lines within ``THRESHOLD`` edits of each other, and ``PERCENT`` hundredths of the shorter one's characters, are linked by a
+segment-partition join: a line is cut into THRESHOLD + 1 segments, of which one must survive in any line so near, at a place that
+lengths and edits bound. Index rows (length, segment number, segment) meet the substrings that a line at least as long may hold them
+at; the counts of eight letters, which an edit changes by two in all at most, are compared in the join, so a common segment costs no
+rows. Survivors are verified by a banded bit-parallel edit distance, folded over the characters with 64-bit columns. Linked lines form
+classes; of each class the first occurrence (by document, its text's hash, line) stays and all others are dropped.
+
+Lines are compared without outer white space; they keep their text. Lines under ``MIN_CHARS`` characters always stay, and those under
+``MIN_WORDS`` words only count as repeats where they are equal: both are parameters, and at 0 every line with a character is compared.
+Lines more than ``THRESHOLD`` edits apart stay, however long.
+
+Cases: a null or empty text has one empty line and keeps it. Rows with equal id and text are one document: they keep and lose the same
+lines. Rows that share an id with different texts are documents of their own, as are rows without an id. Of occurrences in one
+document the first line counts. A document of which nothing but white space stays has an empty text. Ids may have any value, lines any
+length. An empty table gives no rows. Other input columns pass through ``drop_repeated_lines``, but for ``drops``, which it replaces,
+and names that begin with ``__line_``.
 """
 
 from __future__ import annotations
@@ -23,21 +26,19 @@ from pyspark.sql import functions as F
 from provena.llm.common import materialize, table
 from provena.llm.components import components
 
-THRESHOLD, MIN_CHARS, MIN_WORDS = 1, 20, 5
-#: Occurrences are numbered document * PLACES + line.
-PLACES = 1 << 24  # shifted back by 24 bits
-_LETTERS = "etaonish"
+THRESHOLD, PERCENT, MIN_CHARS, MIN_WORDS = 3, 10, 20, 5
+_SPACE, _LETTERS = " \t\x0b\f\r", "etaonish"
 
 
-def eligible(line: Column, min_words: int = MIN_WORDS) -> Column:
-    return (F.char_length(line) >= MIN_CHARS) & line.rlike(r"(\S+\s+){%d}\S" % (min_words - 1))
+def worded(line: Column, words: int) -> Column:
+    """Whether a line without outer white space has so many words."""
+    return line.rlike(r"^(?:\S++\s++){%d}\S" % (words - 1)) if words > 1 else line != ""
 
 
-def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``place, line`` of the lines that are compared, or of those with ``min_words`` words at least."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.select((F.col("doc_id") * PLACES + F.col("pos")).alias("place"), F.trim("line").alias("line"))
-    return lines.where(eligible(F.col("line"), min_words))
+def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``doc_id, hash, pos, line`` of the lines that are compared; ``hash`` is that of the whole text."""
+    lines = docs.select("doc_id", F.xxhash64("text").alias("hash"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return lines.withColumn("line", F.btrim("line", F.lit(_SPACE))).where((F.char_length("line") >= min_chars) & (F.col("line") != ""))
 
 
 def _segments(n: Column, threshold: int) -> list[tuple[Column, Column]]:
@@ -118,7 +119,7 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), m - 1), init, step, lambda s: s["d"])
 
 
-def links(lines: DataFrame, threshold: int = THRESHOLD, percent: int = 100) -> DataFrame:
+def links(lines: DataFrame, threshold: int = THRESHOLD, percent: int = PERCENT) -> DataFrame:
     """All pairs ``a, b`` of ids of ``lines`` (of ``measured``) within ``threshold`` edits and ``percent`` hundredths of the
     shorter one's characters."""
     pairs = materialize(candidates(lines, threshold), "pairs")
@@ -129,33 +130,37 @@ def links(lines: DataFrame, threshold: int = THRESHOLD, percent: int = 100) -> D
 
 
 def _code(line: str) -> list[Column]:
-    return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("line"), F.col(line)).alias("h2")]
+    return [F.xxhash64(line).alias("id"), F.xxhash64(F.lit("line"), F.col(line)).alias("id2")]
 
 
-def repeated(docs: DataFrame, threshold: int = THRESHOLD, percent: int = 100, min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, drops``: the line numbers of each document that an earlier line of their class makes redundant. Lines of at
-    least ``min_words`` but under ``MIN_WORDS`` words only count as repeats where they are equal."""
-    places = occurrences(docs, min_words)
-    lines = measured(places.groupBy("line").agg(F.min("place").alias("id"), F.count("*").alias("times")))
+def repeated(docs: DataFrame, threshold: int = THRESHOLD, percent: int = PERCENT, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``doc_id, hash, drops``: the line numbers of each document that an earlier line of their class makes redundant."""
+    places = occurrences(docs, min_chars)
+    lines = places.groupBy("line").agg(F.count("*").alias("times")).select("line", *_code("line"), "times")
     lines = materialize(lines, "lines")
-    compared = lines.where(eligible(F.col("line"))) if min_words < MIN_WORDS else lines
-    labels = components(materialize(links(compared, threshold, percent), "links"))
+    # a line too short for one edit is near to none but itself
+    compared = lines.where(worded(F.col("line"), min_words) & (F.char_length("line") * percent >= 100))
+    labels = components(materialize(links(measured(compared.select("id", "line")), threshold, percent), "links"))
     found = lines.join(labels.hint("merge"), F.col("id") == F.col("node"), "left").where("times > 1 or component is not null")
-    found = materialize(found.select(*_code("line"), F.coalesce("component", "id").alias("first")), "repeated")
-    rows = places.select("place", *_code("line")).join(found.hint("merge"), ["h1", "h2"]).where("place <> first")
-    rows = rows.select(F.shiftright("place", 24).alias("doc_id"), F.pmod("place", F.lit(PLACES)).cast("int").alias("pos"))
-    return rows.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("drops"))
+    found = materialize(found.select("id", "id2", F.coalesce("component", "id").alias("class")), "repeated")
+    rows = places.select(F.struct("doc_id", "hash", "pos").alias("place"), *_code("line")).join(found.hint("merge"), ["id", "id2"])
+    rows = materialize(rows.select("class", "place"), "places")
+    firsts = rows.groupBy("class").agg(F.min("place").alias("first"))
+    rows = rows.join(firsts.hint("merge"), "class").where("place <> first")
+    return rows.groupBy("place.doc_id", "place.hash").agg(F.array_sort(F.collect_set("place.pos")).alias("drops"))
 
 
-def drop_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, key: str = "doc_id", text: str = "text", percent: int = 100, min_words: int = MIN_WORDS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, key: str = "doc_id", text: str = "text", percent: int = PERCENT, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with ``text`` less its dropped lines, and ``drops``, their numbers (null: none)."""
-    plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    docs = docs.drop("drops", "__doc")  # the result's own names
-    drops = materialize(repeated(plain, threshold, percent, min_words), "drops").withColumnRenamed("doc_id", "__doc")
-    rows = docs.join(drops.hint("merge"), F.col(key) == F.col("__doc"), "left").drop("__doc")
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    plain = docs.select(F.col(key).cast("long").alias("doc_id"), whole.alias("text"))
+    docs = docs.drop("drops")
+    drops = materialize(repeated(plain, threshold, percent, min_words, min_chars), "drops").toDF("__line_doc", "__line_hash", "drops")
+    rows = docs.withColumn("__line_own", F.xxhash64(whole))
+    rows = rows.join(drops.hint("merge"), F.col(key).cast("long").eqNullSafe(F.col("__line_doc")) & (F.col("__line_own") == F.col("__line_hash")), "left")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("drops", i)), "\n")
     kept = F.when(kept.rlike(r"\S"), kept).otherwise("")
-    return rows.withColumn(text, F.when(F.col("drops").isNull(), F.col(text)).otherwise(kept))
+    return rows.withColumn(text, F.when(F.col("drops").isNull(), F.col(text)).otherwise(kept)).drop("__line_doc", "__line_hash", "__line_own")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,15 +170,18 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"), F.char_length(text).cast("long").alias("kept_chars"), F.md5(text.cast("binary")).alias("kept_md5"))
 
 
-#: The same classes in DuckDB: lines of nearly equal length that share a half are compared directly.
+#: The same classes in DuckDB: all pairs of lines of nearly equal length and letter counts. ``levenshtein`` counts bytes there, so the
+#: characters beyond ASCII that occur (30 at most) stand as control characters.
 OP5_SQL = r"""
 with recursive d as (select doc_id, coalesce(text, '') as text, string_split(coalesce(text, ''), chr(10)) as l from documents),
 x as (select doc_id, unnest(l) as raw, generate_subscripts(l, 1) - 1 as pos from d),
-o as (select doc_id, pos, doc_id * 16777216 + pos as place, trim(raw) as line from x where length(trim(raw)) >= 20 and regexp_matches(trim(raw), '(\S+\s+){4}\S')),
-f as (select line, min(place) as id, length(line) as n from o group by line),
-h as (select id, line, n, m, n - m as less, unnest([left(line, m // 2), right(line, m - m // 2)]) as half, unnest([0, 1]) as side from (select *, unnest([n, n - 1]) as m from f) y),
-p as (select distinct a.id as a, b.id as b, a.line as s, b.line as t, a.n from h a join h b on a.m = b.m and a.side = b.side and a.half = b.half and a.less = 0 and (b.less = 1 or a.id < b.id)),
-e as (select a, b from p where list_bool_or(list_transform(range(length(t)), lambda i: case when length(t) > length(s) then s else substr(s, 1, i) || substr(s, i + 2) end = substr(t, 1, i) || substr(t, i + 2)))),
+o as (select doc_id, pos, {'d': doc_id, 'p': pos} as place, trim(raw, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) as line from x),
+f as (select line, min(place) as id, length(line) as n from o where length(line) >= 20 group by line),
+u as (select c, row_number() over (order by c) as k from (select distinct unnest(string_split(line, '')) as c from f) where c > '~'),
+m as (select string_agg(c, '' order by k) as c, string_agg(chr((k + case when k > 9 then 1 else 0 end)::int), '' order by k) as t from u),
+h as (select f.*, case when m.c is null then line else translate(line, m.c, m.t) end as s, list_transform(['e', 't', 'a', 'o', 'n', 'i', 's', 'h', 'r', 'd', ' ', 'u', 'l', 'c'], lambda c: n - length(replace(line, c, ''))) as v from f, m where regexp_matches(line, '^(\S+\s+){4}\S')),
+p as (select a.id as a, b.id as b, a.s, b.s as t, a.n from h a join h b on b.n between a.n and a.n + 3 and (a.n < b.n or a.id < b.id) and abs(a.v[1] - b.v[1]) < 4 and abs(a.v[2] - b.v[2]) < 4 and abs(a.v[3] - b.v[3]) < 4 and abs(a.v[4] - b.v[4]) < 4 and abs(a.v[5] - b.v[5]) < 4 and abs(a.v[6] - b.v[6]) < 4 and abs(a.v[7] - b.v[7]) < 4 and abs(a.v[8] - b.v[8]) < 4 and abs(a.v[9] - b.v[9]) < 4 and abs(a.v[10] - b.v[10]) < 4 and abs(a.v[11] - b.v[11]) < 4 and abs(a.v[12] - b.v[12]) < 4 and abs(a.v[13] - b.v[13]) < 4 and abs(a.v[14] - b.v[14]) < 4),
+e as (select a, b from p where levenshtein(s, t) <= least(3, n * 10 // 100)),
 g as (select a, b from e union select b, a from e),
 r(node, other) as (select id, id from f union select r.node, g.b from r join g on g.a = r.other),
 c as (select node, min(other) as first from r group by node),
