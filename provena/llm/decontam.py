@@ -3,14 +3,16 @@
 Texts and items are lower-cased, and every run of characters that are neither letters nor digits becomes one space. An item may
 differ from a passage by ``budget(item)`` edits (``ERRORS_PERCENT`` of its length). Cut into budget + 1 pieces, at least one piece
 stands in such a passage unchanged; an Aho-Corasick automaton finds all pieces in a text in one pass, and around each hit Myers'
-bit-parallel distance, with Python's integers as bit vectors of any length, finds where the whole item ends and begins.
+bit-parallel distance, with Python's integers as bit vectors of any length, finds where the whole item ends and begins. Stretches around
+hits are merged first, so each place of a text is compared with an item once, however many of its pieces stand there.
 
 The automaton is built on each executor from the benchmark, sent in blocks of at most ``BLOCK_CHARS`` characters; each block is one
 pass over all texts. Items of fewer than ``MIN_CHARS`` characters are searched for without edits and on word boundaries only.
 
 Cases: a null text or one without letters matches nothing. Null items are left out; equal items are searched for once and reported
-under each id. Repeated rows give repeated rows; an empty benchmark or table gives clean rows or none. Columns other than the named
-ones are not read by ``find_items`` and pass through ``drop_contaminated``.
+under each id. Repeated rows give repeated rows, a null ``doc_id`` stays null; an empty benchmark or table gives clean rows or none.
+Texts of any length are searched whole. Columns other than the named ones are not read by ``find_items`` and pass through
+``drop_contaminated``, whatever their names.
 """
 
 from __future__ import annotations
@@ -93,11 +95,22 @@ def match(item: str, text: str, low: int, high: int) -> tuple[int, int, int] | N
     return distance, low + end - size, low + end
 
 
+def merged(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of stretches, as stretches that lie apart, in order."""
+    out: list[tuple[int, int]] = []
+    for low, high in sorted(stretches):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
+        else:
+            out.append((low, high))
+    return out
+
+
 class Finder:
     def __init__(self, items: list[str]):
         import ahocorasick
 
-        self.items, self.found = items, {}
+        self.items, self.found, self.limits = items, {}, [budget(x) for x in items]
         for k, item in enumerate(items):
             for at, piece in pieces(item):
                 self.found.setdefault(piece, []).append((k, at))
@@ -108,33 +121,30 @@ class Finder:
             self.automaton.make_automaton()
 
     def search(self, text: str) -> list[tuple[int, int, int, int]]:
-        """``item, distance, start, end``, all occurrences in a normal text, the best of those that overlap."""
+        """``item, distance, start, end`` of all occurrences in a normal text. Of occurrences of one item that overlap, the one of
+        least distance counts, and of such the one that ends first; what remains on both its sides is searched again."""
         if not self.found or not text:
             return []
-        spans: dict[int, list[list[int]]] = {}
+        stretches: dict[int, list[tuple[int, int]]] = {}
         for end, (size, uses) in self.automaton.iter(text):
             for k, at in uses:
-                start, limit = end + 1 - size - at, budget(self.items[k])
-                own = spans.setdefault(k, [])
-                if not limit:
-                    whole = (not start or text[start - 1] == " ") and text[end + 1 : end + 2] in ("", " ")
-                    if whole and not (own and start < own[-1][1]):
-                        own.append([start, end + 1, 0])
-                    continue
-                low, high = max(0, start - limit), min(len(text), start + len(self.items[k]) + limit)
-                if own and low <= own[-1][2] and high >= own[-1][0]:  # hits of one passage
-                    own[-1][0], own[-1][1], own[-1][2] = min(own[-1][0], low), max(own[-1][1], high), max(own[-1][2], start + limit)
-                else:
-                    own.append([low, high, start + limit])
+                start, limit = end + 1 - size - at, self.limits[k]
+                own = stretches.setdefault(k, [])
+                if limit:
+                    own.append((max(0, start - limit), min(len(text), start + len(self.items[k]) + limit)))
+                elif (not start or text[start - 1] == " ") and text[end + 1 : end + 2] in ("", " ") and not (own and start < own[-1][1]):
+                    own.append((start, end + 1))
         out = []
-        for k, own in spans.items():
-            if not budget(self.items[k]):
-                out += [(k, 0, low, high) for low, high, _ in own]
+        for k, own in stretches.items():
+            if not self.limits[k]:
+                out += [(k, 0, low, high) for low, high in own]
                 continue
-            for low, high, _ in own:
-                while low < high and (hit := match(self.items[k], text, low, high)):
+            todo = merged(own)
+            while todo:
+                low, high = todo.pop()
+                if high - low >= len(self.items[k]) - self.limits[k] and (hit := match(self.items[k], text, low, high)):
                     out.append((k, *hit))
-                    low = hit[2]
+                    todo += [(low, hit[1]), (hit[2], high)]
         return out
 
 
