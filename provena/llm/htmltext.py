@@ -6,12 +6,16 @@ sequence of blocks in both directions and labels each as main text or not; the m
 trained in numpy on ``TRAIN_PAGES`` pages made by ``made_page`` from a seed: containers of many names with articles, menus, headers,
 footers, sidebars, notices, adverts, forms and reader comments, with and without end tags.
 
-Cases: a null page is empty; a page without main text has an empty text. Unclosed and stray tags, comments and quotes never fail: what is
-no tag is text. Scripts and styles are never text. Repeated rows give repeated rows; other input columns are not read.
+Cases: a null page is empty; a page without main text has an empty text. Unclosed and stray tags, comments and quotes never fail: a ``<``
+that begins no tag is text, a quoted value ends at its closing quote however far, or where none follows at the next ``>``, and a last
+tag without ``>`` is dropped. Scripts and styles are never text. A block whose probability is exactly one half is main text. Pages of
+any length, depth and number of blocks are read whole. Repeated rows give repeated rows, an empty table none. Columns to ``keep`` that
+are called like the result's own get the prefix ``page_``; others are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import random
 import re
@@ -22,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from provena.llm.common import map_batches, table
+from provena.llm.common import Words, cut, map_batches, table
 
 PATH_DIM, WORD_DIM, NUMBERS, EMBED, HIDDEN = 1024, 64, 8, 32, 24
 TRAIN_PAGES, EPOCHS, SEED = 700, 14, 7
@@ -34,41 +39,112 @@ RAW = frozenset("script style template".split())
 _RAW_END = {tag: re.compile(f"</{tag}", re.I) for tag in RAW}
 _CLOSES_P = BLOCK - {"button", "td", "th", "tr", "option", "body", "html", "head"}
 _NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
-_LABEL = re.compile(r"""(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_LABELS = frozenset(("class", "id", "role", "aria-label", "itemprop"))
+_GAP, _ATTRIBUTE, _EQUALS, _BARE = (re.compile(x) for x in (r"[\s/]*", r"=?[^\s/>=]*", r"\s*=\s*", r"[^\s>]*"))
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_ITEMS = frozenset(("li", "option", "tr", "td", "th", "dt", "dd"))
 
 
 class Block:
-    __slots__ = ("links", "path", "text")
+    """``path``: the hashed labels of all open elements, sorted, and ``depth``, their number; ``last``: the two innermost elements."""
 
-    def __init__(self, text: str, path: tuple[str, ...], links: int):
-        self.text, self.path, self.links = text, path, links
+    __slots__ = ("depth", "last", "links", "path", "text")
+
+    def __init__(self, text: str, path: list[int], depth: int, last: tuple[str, ...], links: int):
+        self.text, self.path, self.depth, self.last, self.links = text, path, depth, last, links
+
+
+def _hash(x: str) -> int:
+    return zlib.crc32(x.encode())
+
+
+def tag_end(page: str, at: int) -> tuple[int, list[str]]:
+    """Where the tag whose name ends at ``at`` closes (-1: nowhere), and the words of its labels."""
+    words: list[str] = []
+    while True:
+        at = _GAP.match(page, at).end()
+        if at >= len(page):
+            return -1, words
+        if page[at] == ">":
+            return at, words
+        name = _ATTRIBUTE.match(page, at)
+        equals = _EQUALS.match(page, name.end())
+        if not equals:
+            at = name.end()
+            continue
+        at = equals.end()
+        quote = page[at : at + 1]
+        if quote in ('"', "'"):
+            begin, end = at + 1, page.find(quote, at + 1)
+            if end < 0:  # never closed
+                at = end = page.find(">", begin)
+                if end < 0:
+                    return -1, words
+            else:
+                at = end + 1
+        else:
+            begin, end = at, _BARE.match(page, at).end()
+            at = end
+        if name.group().lower() in _LABELS:
+            words += [w.lower() for w in _PARTS.findall(page, begin, end)]
+
+
+class Stack:
+    """The open elements, with counts of their labels, so that no step costs more than its own element."""
+
+    def __init__(self) -> None:
+        self.tags: list[tuple[str, list[int]]] = []
+        self.named: list[str] = []  # the block elements and the labelled ones
+        self.open: dict[str, int] = {}
+        self.counts: dict[int, int] = {}
+        self.depth = 0
+
+    def push(self, tag: str, labels: list[str]) -> None:
+        ids = [_hash(x) % PATH_DIM for x in labels]
+        self.tags.append((tag, ids))
+        self.open[tag] = self.open.get(tag, 0) + 1
+        for k in ids:
+            self.counts[k] = self.counts.get(k, 0) + 1
+        self.depth += len(ids)
+        if ids:
+            self.named.append(tag)
+
+    def pop(self) -> str:
+        tag, ids = self.tags.pop()
+        self.open[tag] -= 1
+        for k in ids:
+            self.counts[k] -= 1
+            if not self.counts[k]:
+                del self.counts[k]
+        self.depth -= len(ids)
+        if ids:
+            self.named.pop()
+        return tag
 
 
 def blocks(page: str) -> list[Block]:
     """The non-empty blocks of a page, references decoded and white space normalised."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = Stack()
     parts: list[str] = []
-    state = {"links": 0, "path": (), "a": 0}
-
-    def path() -> tuple[str, ...]:
-        return tuple(x for _, own in stack for x in own)
+    links, place = 0, ([], 0, ())
 
     def flush() -> None:
+        nonlocal links
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, state["path"], state["links"]))
+            out.append(Block(text, *place, links))
         parts.clear()
-        state["links"] = 0
+        links = 0
 
     def say(raw: str) -> None:
+        nonlocal links, place
         text = html.unescape(raw) if "&" in raw else raw
         if not parts:
-            state["path"] = path()
+            place = (sorted(stack.counts), stack.depth, tuple(stack.named[-2:]))
         parts.append(text)
-        if state["a"]:
-            state["links"] += len(text)
+        if stack.open.get("a"):
+            links += len(text)
 
     at, size = 0, len(page)
     while at < size:
@@ -93,15 +169,9 @@ def blocks(page: str) -> list[Block]:
             say("<")
             at = begin + 1
             continue
-        end = page.find(">", name.end())
+        end, words = tag_end(page, name.end())
         if end < 0:
-            say(page[begin:])
             break
-        for quote in "\"'":
-            if page.count(quote, name.end(), end) % 2:  # a mark inside a quoted value
-                shut = page.find(quote, end)
-                further = page.find(">", shut) if shut >= 0 else -1
-                end = further if further >= 0 and further - begin < 10_000 else end
         tag, at = name.group().lower(), end + 1
         if tag == "br":
             say(" ")
@@ -109,66 +179,44 @@ def blocks(page: str) -> list[Block]:
         if tag in BLOCK:
             flush()
         if closing:
-            if any(t == tag for t, _ in stack):
-                while stack:
-                    t, _ = stack.pop()
-                    if t == "a":
-                        state["a"] -= 1
-                    if t == tag:
-                        break
+            if stack.open.get(tag):
+                while stack.pop() != tag:
+                    pass
             continue
         if tag in RAW:
             shut = _RAW_END[tag].search(page, at)
             end = page.find(">", shut.end()) if shut else -1
             at = size if end < 0 else end + 1
             continue
-        if tag in _CLOSES_P or tag in ("li", "option", "tr", "td", "th", "dt", "dd"):
-            for k in range(len(stack) - 1, -1, -1):
-                t = stack[k][0]
-                if t == "p" and tag in _CLOSES_P or t == tag and tag in ("li", "option", "tr", "td", "th", "dt", "dd"):
-                    state["a"] -= sum(x == "a" for x, _ in stack[k:])
-                    del stack[k:]
+        ends = [x for x in ("p" if tag in _CLOSES_P else "", tag if tag in _ITEMS else "") if stack.open.get(x)]
+        if ends:
+            for k in range(len(stack.tags) - 1, -1, -1):
+                t = stack.tags[k][0]
+                if t in ends:
+                    while len(stack.tags) > k:
+                        stack.pop()
                     break
                 if t in BLOCK and t != "p":
                     break
         if tag in VOID or page[end - 1] == "/" and tag not in BLOCK:
             continue
-        label = [w.lower() for m in _LABEL.finditer(page, name.end(), end) for w in _PARTS.findall(next(filter(None, m.groups()), ""))]
-        if tag in BLOCK or label:
-            stack.append((tag, (tag, *(f".{w}" for w in label[:8]))))
-        else:
-            stack.append((tag, ()))
-        if tag == "a":
-            state["a"] += 1
-        if len(stack) > 400:
-            del stack[200:]
+        stack.push(tag, [tag, *(f".{w}" for w in words)] if tag in BLOCK or words else [])
     flush()
     return out
 
 
-def _hash(x: str) -> int:
-    return zlib.crc32(x.encode())
-
-
-def inputs(page: list[Block], paths: dict[tuple[str, ...], np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Path features (hashed, the last element also by itself) and the dense part of each block."""
+def inputs(page: list[Block]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Path features (hashed, the last elements also by themselves) and the dense part of each block, from all its words."""
+    ids = [np.array([*b.path, _hash("last:" + "".join(b.last[-1:])) % PATH_DIM, _hash("pair:" + " ".join(b.last)) % PATH_DIM]) for b in page]
     dense = np.zeros((len(page), WORD_DIM + NUMBERS), np.float32)
-    ids = []
+    words = Words(pa.array([b.text for b in page], pa.large_string()), lower=True)
+    counts = np.maximum(np.diff(words.starts), 1)
+    owner = np.repeat(np.arange(len(page)), np.diff(words.starts))
+    own = np.fromiter((zlib.crc32(w) % WORD_DIM for w in cut(words.distinct)), np.int64, len(words.distinct))
+    dense[:, :WORD_DIM] = np.bincount(owner * WORD_DIM + own[words.index], 1 / counts[owner], minlength=len(page) * WORD_DIM).reshape(len(page), WORD_DIM)
     for k, b in enumerate(page):
-        own = paths.get(b.path)
-        if own is None:
-            last = [x for x in b.path if not x.startswith(".")][-2:]
-            own = np.unique([_hash(x) % PATH_DIM for x in (*b.path, "last:" + " ".join(last[-1:]), "pair:" + " ".join(last))])
-            if len(paths) < 100_000:
-                paths[b.path] = own
-        ids.append(own)
-        words = b.text.split(" ")
-        if len(words) > 64:
-            words = words[:: len(words) // 64]
-        at = [_hash(w.lower()) % WORD_DIM for w in words]
-        np.add.at(dense[k], at, 1 / len(at))
         n = len(b.text)
-        dense[k, WORD_DIM:] = (np.log1p(n) / 8, b.links / n, b.text.count(" ") / n, min(1, k / 40), min(1, (len(page) - k) / 40), len(b.path) / 20, b.text[-1] in ".!?…:»”\"", len(page) / 200)
+        dense[k, WORD_DIM:] = (np.log1p(n) / 8, b.links / n, b.text.count(" ") / n, min(1, k / 40), min(1, (len(page) - k) / 40), b.depth / 20, b.text[-1] in ".!?…:»”\"", len(page) / 200)
     return ids, dense
 
 
@@ -258,7 +306,7 @@ class Network:
                     v -= rate * (m1[k] / (1 - 0.9**t)) / (np.sqrt(m2[k] / (1 - 0.99**t)) + 1e-6)
         return self
 
-    def label(self, pages: list[list[Block]], paths: dict) -> list[np.ndarray]:
+    def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
         """For each page, the probability that each block is main text."""
         out: list[np.ndarray] = [np.zeros(0)] * len(pages)
         order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
@@ -272,7 +320,7 @@ class Network:
             x, mask = np.zeros((len(group), steps, EMBED), np.float32), np.zeros((len(group), steps), np.float32)
             for k, page in enumerate(group):
                 n = len(pages[page])
-                x[k, :n], mask[k, :n] = self.embed(*inputs(pages[page], paths)), 1
+                x[k, :n], mask[k, :n] = self.embed(*inputs(pages[page])), 1
             p = self.forward(x, mask)
             for k, page in enumerate(group):
                 out[page] = p[k, : len(pages[page])]
@@ -370,33 +418,35 @@ def made_page(seed: int) -> tuple[str, list[int]]:
     return page, [main for _, main in texts]
 
 
+@functools.lru_cache(maxsize=4)
 def trained(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = SEED) -> Network:
-    paths: dict = {}
+    """The network of a seed; the same in every process, and fitted once in each."""
     data = []
     for k in range(pages):
         page, labels = made_page(seed * 1_000_003 + k)
         own = blocks(page)
         if len(own) == len(labels) and own:
-            data.append((*inputs(own, paths), np.array(labels, np.float32)))
+            data.append((*inputs(own), np.array(labels, np.float32)))
     return Network(seed).train(data, epochs)
 
 
 def main_text(pages: DataFrame, network: Network, key: str = "page_id", page: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """Per row: the key, the ``keep`` columns, ``text`` and ``n_blocks``; one narrow pass. The network has a fixed size."""
     shared = pages.sparkSession.sparkContext.broadcast(network.p)
-    rows = pages.select(F.col(key), *[F.col(c) for c in keep], F.col(page).cast("string").alias("html"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", text string, n_blocks long"
+    own_names = {key, "text", "n_blocks"}
+    rows = pages.select(F.col(key), *[F.col(c).alias(f"page_{c}" if c in own_names else c) for c in keep], F.col(page).cast("string").alias("__html"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("text", T.StringType()), T.StructField("n_blocks", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, paths = Network.__new__(Network), {}
+        own = Network.__new__(Network)
         own.p = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                cut = [blocks(x or "") for x in some.column(some.num_columns - 1).to_pylist()]
-                labels = own.label(cut, paths)
-                texts = ["\n\n".join(b.text for b, p in zip(page, ps, strict=True) if p >= 0.5) for page, ps in zip(cut, labels, strict=True)]
-                yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array(texts, pa.string()), pa.array([len(x) for x in cut], pa.int64())], names=[*some.schema.names[:-1], "text", "n_blocks"])
+                found = [blocks(x or "") for x in some.column(some.num_columns - 1).to_pylist()]
+                labels = own.label(found)
+                texts = ["\n\n".join(b.text for b, p in zip(page, ps, strict=True) if p >= 0.5) for page, ps in zip(found, labels, strict=True)]
+                yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array(texts, pa.string()), pa.array([len(x) for x in found], pa.int64())], names=[*some.schema.names[:-1], "text", "n_blocks"])
 
     return map_batches(rows, run, schema)
 
