@@ -2,22 +2,23 @@
 
 1. One narrow pass makes a row per document: the number of its distinct shingles, a digest of the set, the MinHash bands and the
    odd sketch (the MinHash samples folded into a parity bitmap; the population count of the XOR of two bitmaps estimates a high
-   similarity precisely). Documents with equal sets are one class, found by partial aggregation on the digest.
+   similarity precisely). Documents with equal sets are one class, the node of all that follows.
 2. Every class is compared with two of the least classes of its buckets: the least of all, and the one that it shares most buckets
    with. Pairs whose sketches say that they may link are confirmed on their texts. A group of near copies of any size costs at most two
    pairs for each member.
-3. Only buckets whose members are then still in several components are compared further, in blocks of ``BLOCK`` members on average and
-   by sketch. First each member is confirmed with its nearest of other components. In what is still apart after that, the members
-   with a partner that may link meet in blocks with their texts, and each such pair is decided on the full sets there; only links leave
-   the block. So no link that could join two components of a bucket is left out, while a group is never gathered in one task and its
-   pairs are never rows.
+3. Only classes in buckets that then still hold several components are compared further, by an exact set join and not by bucket:
+   two sets that link have a shingle in common among the rarest few of each, and where it stands bounds their intersection (prefix
+   and positional filter). Each rare shingle's smallest set meets the others that hold it first; what is then still apart meets in
+   pairs, which the sketches thin out and the full sets decide. So no link that could join two components of a bucket is left out.
 
 The bands find a pair of similarity 0.85 with probability 0.99999 (30 bands of 7 samples); at lower thresholds the same samples make
 more bands of fewer rows, so that at 0.80 (35 bands of 6) a pair is missed with probability 2.4e-5. A sketch passes a pair whose
 estimate is at least the slack below the threshold, more than four standard errors of 210 samples: ``SLACK`` at 0.85.
 
 Cases: a null text, or one without words, has no shingles, links with nothing and is kept. A text of one to four words is one
-shingle. Rows with one ``doc_id`` are one node. An empty table gives no rows. Other input columns are not read.
+shingle. Rows with one ``doc_id`` are one node: the links of all their texts count. Rows without an id link by their texts alone; a
+component of none but such rows has a null id and keeps them, another keeps its least id. Repeated rows give repeated rows, texts of any
+length are read whole, an empty table gives no rows. Other input columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,13 +28,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provena.llm.common import Words, map_batches, materialize, mix, table, windows
 from provena.llm.components import components
 
-SHINGLE, BANDS, ROWS, SKETCH_BITS, BLOCK, TEXT_BLOCK, SLACK = 5, 30, 7, 1024, 256, 64, 0.11
+SHINGLE, BANDS, ROWS, SKETCH_BITS, SLACK = 5, 30, 7, 1024, 0.11
 _K = BANDS * ROWS
 _FACTORS = (mix(np.arange(1, _K + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _SALTS = mix(np.arange(1001, 1001 + _K, dtype=np.uint64))
@@ -110,14 +111,14 @@ def sketches(docs: DataFrame, size: int = ROWS) -> DataFrame:
                     digests.append(None)
                     bands.append(None)
                     bits.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "hash", "n_shingles", "digest", "bands", "sketch"])
 
-    return map_batches(docs, run, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>")
+    return map_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("hash")), run, "doc_id long, hash long, n_shingles long, digest binary, bands array<long>, sketch array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose whole shingle sets have 100 * intersection >= ``percent`` * union. Each document's set stands in
-    the joins as its text; the set of ``a`` is kept from row to row."""
+    """The pairs ``a, b`` of nodes whose whole shingle sets have 100 * intersection >= ``percent`` * union. Each node's set stands in
+    the joins as its text (``texts``: ``node, text``); the set of ``a`` is kept from row to row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
@@ -133,8 +134,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    rows = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
-    rows = rows.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
+    rows = pairs.join(texts.toDF("b", "text_b").hint("merge"), "b").join(texts.toDF("a", "text_a").hint("merge"), "a")
     return map_batches(rows.select("a", "b", "text_a", "text_b"), run, "a long, b long")
 
 
@@ -142,102 +142,38 @@ def _flips(x: str, y: str):
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
 
 
-def _members(block) -> tuple[list[dict], np.ndarray, np.ndarray, np.ndarray]:
-    rows = block.as_py()
-    return rows, np.array([m["node"] for m in rows]), np.array([m["component"] for m in rows]), np.array([m["sketch"] for m in rows], np.int64).view(np.uint64)
-
-
-def _close(sa: np.ndarray, ca: int, sb: np.ndarray, cb: np.ndarray, limit: int) -> np.ndarray:
-    """Flips against members of other components; ``limit + 1`` for those of the same."""
-    return np.where(cb != ca, np.bitwise_count(sb ^ sa).sum(axis=1, dtype=np.int64), limit + 1)
-
-
-def _nearest(limit: int):
-    """Of two blocks of a bucket, each member of the first with its nearest of the second, if their sketches allow a link."""
+def _codes(texts: DataFrame) -> DataFrame:
+    """``node, n, codes``: the shingle set of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
-                (_, na, ca, sa), (_, nb, cb, sb) = _members(left), _members(right)
-                for k in range(len(na)):
-                    flips = _close(sa[k], ca[k], sb, cb, limit)
-                    at = int(np.argmin(flips))
-                    if flips[at] <= limit:
-                        a.append(min(na[k], nb[at]))
-                        b.append(max(na[k], nb[at]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            sets = [codes.view(np.int64) for codes in shingle_sets(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "n", "codes"])
 
-    return run
+    return map_batches(texts, run, "node long, n long, codes array<long>")
 
 
-def _open_members(limit: int):
-    """``bucket, node`` of the members of two blocks that have a partner which may link."""
+def rare_shingles(texts: DataFrame, percent: int) -> DataFrame:
+    """``node, n, code, pos``: of the shingles that several texts hold, those among the rarest ``n - ceil(percent * n / 100) + 1`` of
+    each, with their place in its order by rarity. Any two sets of such a similarity share one of them."""
+    held = materialize(_codes(texts).select("node", "n", F.explode("codes").alias("code")), "codes")
+    often = held.groupBy("code").agg(F.count("*").alias("df")).where("df > 1")
+    known = held.join(often.hint("merge"), "code").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "code"))).alias("known"))
+    alone = F.col("n") - F.size("known")  # in no other text, so before all these
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    known = known.withColumn("alone", alone).select("node", "n", "alone", F.posexplode(F.slice("known", F.lit(1), F.greatest(F.lit(0), prefix - alone).cast("int"))).alias("k", "own"))
+    return known.select("node", "n", F.col("own.code").alias("code"), (F.col("alone") + F.col("k")).alias("pos"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buckets, nodes = [], []
-            for bucket, left, right in zip(batch.column("bucket").to_pylist(), batch.column("left"), batch.column("right"), strict=True):
-                (_, na, ca, sa), (_, nb, cb, sb) = _members(left), _members(right)
-                partner = np.zeros(len(nb), bool)
-                own = np.zeros(len(na), bool)
-                for k in range(len(na)):
-                    near = _close(sa[k], ca[k], sb, cb, limit) <= limit
-                    partner |= near
-                    own[k] = near.any()
-                found = np.union1d(na[own], nb[partner]).tolist()
-                nodes += found
-                buckets += [bucket] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(nodes, pa.int64())], names=["bucket", "node"])
-
-    return run
-
-
-def _decided(limit: int, percent: int):
-    """The links between members of two blocks in different components, on their full sets; of each two components one is enough."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
-                (ra, na, ca, sa), (rb, nb, cb, sb) = _members(left), _members(right)
-                sets_a, sets_b = (list(shingle_sets(pa.array([m["text"] for m in r], pa.string()))) for r in (ra, rb))
-                joined: set[tuple[int, int]] = set()
-                for k in range(len(na)):
-                    for at in np.flatnonzero(_close(sa[k], ca[k], sb, cb, limit) <= limit).tolist():
-                        pair = (min(ca[k], cb[at]), max(ca[k], cb[at]))
-                        if pair in joined:
-                            continue
-                        same = len(np.intersect1d(sets_a[k], sets_b[at], assume_unique=True))
-                        if 100 * same >= percent * (len(sets_a[k]) + len(sets_b[at]) - same):
-                            joined.add(pair)
-                            a.append(min(na[k], nb[at]))
-                            b.append(max(na[k], nb[at]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return run
-
-
-def _block_pairs(members: DataFrame, size: int, *columns: str) -> DataFrame:
-    """``bucket, left, right``: pairs of blocks of a bucket's members that hold more than one component between them."""
-    n = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket", "n")
-    rest = members.join(n.hint("merge"), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / size)))
-    blocks = rest.groupBy("bucket", "block").agg(F.collect_list(F.struct("node", "component", "sketch", *columns)).alias("members"), F.min("component").alias("x"), F.max("component").alias("y"))
-    blocks = materialize(blocks, "blocks")
-    left, right = blocks.alias("l"), blocks.alias("r")
-    apart = (F.col("l.x") != F.col("r.x")) | (F.col("l.y") != F.col("r.y")) | (F.col("l.x") != F.col("l.y"))
-    both = left.join(right.hint("merge"), (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.block") <= F.col("r.block")) & apart)
-    return both.select("l.bucket", F.col("l.members").alias("left"), F.col("r.members").alias("right"))
-
-
-def _known(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    return shared.join(labels.hint("merge"), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-
-
-def _mixed(known: DataFrame) -> DataFrame:
-    """The members of buckets with several components."""
-    mixed = known.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    return known.join(mixed.hint("merge"), "bucket")
+def _may_link(percent: int) -> Column:
+    """Of sets ``a`` and ``b``, ``a`` the smaller one, that meet in a shingle at ``pa`` and ``pb``: whether sizes and places allow a link."""
+    na, nb, both = F.col("na"), F.col("nb"), 100 + percent
+    least = F.floor((percent * (na + nb) + both - 1) / both)
+    return ((na < nb) | ((na == nb) & (F.col("a") < F.col("b")))) & (100 * na >= percent * nb) & (F.least(na - F.col("pa"), nb - F.col("pb")) >= least) & (F.col("ca") != F.col("cb"))
+
+
+def _side(rare: DataFrame, x: str) -> DataFrame:
+    return rare.select("code", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"), F.col("component").alias(f"c{x}"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
@@ -245,37 +181,51 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     limit = most_flips(percent / 100 - slack(percent))
     rows = materialize(sketches(docs, band_rows(percent)), "sketches")
-    classes = materialize(rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
-    firsts = classes.select(F.col("node").alias("doc_id")).distinct().hint("merge")
-    nodes = rows.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "bands", "sketch")
-    nodes = materialize(nodes, "nodes")
+    worded = rows.where("digest is not null")
+    # equal sets have equal bands and sketches; the numbers are fixed once the table is written
+    nodes = worded.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "hash")).alias("own"), F.first(F.struct("bands", "sketch")).alias("made"))
+    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "least", "own.doc_id", "own.hash", "made.bands", "made.sketch"), "nodes")
     members = nodes.select("node", F.explode("bands").alias("bucket"))
     leaders = members.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
     shared = materialize(members.join(leaders.hint("merge"), "bucket").select("node", "bucket", "a"), "members")
     bits = nodes.select("node", "sketch")
     # the texts of classes that share a bucket with another: the only shuffle of whole texts
-    texts = materialize(docs.join(shared.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "texts")
+    asked = nodes.join(shared.select("node").distinct().hint("merge"), "node", "left_semi").select("node", F.col("doc_id").alias("id"), F.col("hash").alias("own"))
+    found = docs.withColumn("hash", F.xxhash64("text")).join(asked.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("own")))
+    texts = materialize(found.select("node", "text").dropDuplicates(["node"]), "texts")
+    thinned = lambda pairs: pairs.join(bits.toDF("a", "sketch_a").hint("merge"), "a").join(bits.toDF("b", "sketch_b").hint("merge"), "b").where(_flips("sketch_a", "sketch_b") <= limit).select("a", "b")
     often = shared.where("node <> a").groupBy("node", "a").agg(F.count("*").alias("n"))
     star = often.groupBy("node").agg(F.min("a").alias("x"), F.max_by("a", F.struct("n", -F.col("a"))).alias("y"))
     star = star.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), F.col("node").alias("b"))
-    star = star.join(bits.toDF("a", "sketch_a").hint("merge"), "a").join(bits.toDF("b", "sketch_b").hint("merge"), "b")
-    tried = materialize(star.where(_flips("sketch_a", "sketch_b") <= limit).select("a", "b"), "pairs")
+    tried = materialize(thinned(star), "pairs")
     links = materialize(confirmed(tried, texts, percent), "links")
-    labels = materialize(components(links), "labels")
+    several = worded.groupBy("doc_id").agg(F.min(F.xxhash64("digest")).alias("x"), F.max(F.xxhash64("digest")).alias("y")).where("x <> y and doc_id is not null").select("doc_id")
+    several = worded.select("doc_id", "digest").join(several.hint("merge"), "doc_id").join(nodes.select("digest", "node").hint("merge"), "digest")
+    several = materialize(several.select("doc_id", "node"), "several")
+    several = several.join(several.groupBy("doc_id").agg(F.min("node").alias("first")).hint("merge"), "doc_id").where("node <> first")
+    labels = materialize(components(links.union(several.select("first", "node"))), "labels")
     merged = lambda more: materialize(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "labels")
-    pairs = _block_pairs(_mixed(_known(shared, labels)).join(bits.hint("merge"), "node"), BLOCK)
-    near = map_batches(pairs, _nearest(limit), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-    labels = merged(materialize(confirmed(materialize(near, "pairs"), texts, percent), "links"))
-    known = _known(shared, labels)
-    pairs = _block_pairs(_mixed(known).join(bits.hint("merge"), "node"), BLOCK)
-    open_ = materialize(map_batches(pairs, _open_members(limit), "bucket long, node long").distinct(), "open")
-    if not open_.isEmpty():
-        full = open_.join(known.hint("merge"), ["bucket", "node"]).join(bits.hint("merge"), "node").join(texts.withColumnRenamed("doc_id", "node").hint("merge"), "node")
-        pairs = _block_pairs(full, TEXT_BLOCK, "text")
-        labels = merged(materialize(map_batches(pairs.select("left", "right"), _decided(limit, percent), "a long, b long").distinct(), "links"))
-    found = classes.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "digest").join(found.hint("merge"), "digest", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    known = shared.join(labels.hint("merge"), "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    mixed = known.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
+    apart = known.join(mixed.hint("merge"), "bucket").select("node").distinct()
+    rare = materialize(rare_shingles(texts.join(apart.hint("merge"), "node", "left_semi"), percent), "rare")
+    for first in (True, False):
+        now = rare.join(labels.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        b = _side(now, "b")
+        if first:
+            a = now.groupBy("code").agg(F.min(F.struct("n", "node", "pos", "component")).alias("own")).select("code", "own.*")
+        else:
+            # the smaller set of a pair holds such a shingle even among fewer of its rarest
+            a = now.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent)))
+        pairs = _side(a, "a").hint("merge").join(b, "code").where(_may_link(percent)).select("a", "b").distinct()
+        pairs = materialize(thinned(pairs.join(tried, ["a", "b"], "left_anti")), "pairs")
+        tried = tried.union(pairs)
+        labels = merged(materialize(confirmed(pairs, texts, percent), "links"))
+    least = nodes.select("node", "digest", "least").join(labels.hint("merge"), "node", "left")
+    joined = least.where("component is not null").groupBy("component").agg(F.min("least").alias("component_id"))
+    least = least.join(joined.hint("merge"), "component", "left").select("digest", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.lit(True).alias("found"))
+    out = rows.select("doc_id", "n_shingles", "digest").join(least.hint("merge"), "digest", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
