@@ -28,8 +28,9 @@ def odd_rows():
     long = prose(1, 9_000)
     base = prose(2, 120)
     near = base.replace(base.split()[60], "changed", 1)
-    texts = [None, "", " \t\n", "one", "two words", base, base, near, long, long, "Línea única de texto con acentos y palabras\n" + prose(3, 80), "x" * 50_000, "\n\n" + prose(4, 40) + "\n" + prose(3, 80), "mail a.b@c.example tel +1 (803) 555-5351 card 4111111111111111 host 10.0.0.1 not 999.1.1.1", "@" * 3_000 + "1" * 3_000, base.upper(), "<|endoftext|> it's ÀÉ ß İ 日本 don't."]
-    return [(i, t, None, "s", None, "q", "d", "k", "h", None) for i, t in enumerate(texts)] + [(5, base, "en", "s", 1, None, None, None, None, 1)]
+    texts = [None, "", " \t\n", "one", "two words", base, base, near, long, long, "Línea única de texto con acentos y palabras\n" + prose(3, 80), "x" * 50_000, "\n\n" + prose(4, 40) + "\n" + prose(3, 80), "mail a.b@c.example tel +1 (803) 555-5351 card 4111111111111111 host 10.0.0.1 not 999.1.1.1", "@" * 3_000 + "1" * 3_000, base.upper(), "<|endoftext|> it's ÀÉ ß İ 日本 don't.", "A<| K_<| Bc<| aB|<| <|startoftext|>B<|"]
+    rows = [(i, t, None, "s", None, "q", "d", "k", "h", None) for i, t in enumerate(texts)] + [(5, base, "en", "s", 1, None, None, None, None, 1)]
+    return [*rows, (None, prose(77, 60), "en", "s", 1, None, None, None, None, 1), (None, None, None, None, None, None, None, None, None, None), ((1 << 60) + 1, "a large id", "en", "s", 1, None, None, None, None, 0)]
 
 
 @pytest.fixture(scope="module")
@@ -58,8 +59,29 @@ def test_words_and_token_ids_equal_the_library(odd):
         assert ids[starts[i] : starts[i + 1]].tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids
 
 
+def test_token_ids_of_random_texts_equal_the_library():
+    e, r = tokens.encoder(tokens.tokenizer_path()), random.Random(1)
+    assert e.by_word
+    parts = ["<|", "|>", "<|endoftext|>", "<|startoftext|>", "a", "A", "K", "bc", "Bc", "'s", "'LL", "'t", "12", "é", "É", "ß", "İ", "日本", " ", " ", "\u0301", "e\u0301", "\u00a0", "\n", "\u2028", "\t", ".", "!", "#", "don't", "Σ", "ς", "ﬁ", "_", "-", "\x1c", "\x85", "½", "😀", "\x00", "ſ"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(3_000)]
+    ids, starts = e.encode(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert ids[starts[i] : starts[i + 1]].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
+def test_another_splitter_goes_to_the_library():
+    import public_tokenizers
+
+    e = tokens.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["Hello  world, it's", None, "", "x\ny é"]
+    ids, starts = e.encode(pa.array(texts))
+    assert not e.by_word
+    assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)] == [e.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_packing_covers_every_id_once(odd, empty):
     out = packing.pack(packing.token_pieces(odd)).toPandas()
+    assert out.doc_id.isna().sum() == 2
     e = tokens.encoder(tokens.tokenizer_path())
     want = collections.Counter(zlib.crc32(np.array(e.tokenizer.encode(r[1] or "", add_special_tokens=False).ids + [0], "<u4").tobytes()[a : a + 8192]) for r in odd_rows() for a in range(0, 4 * (len(e.tokenizer.encode(r[1] or "", add_special_tokens=False).ids) + 1), 8192))
     assert collections.Counter(zlib.crc32(x) for x in out.ids) == want
@@ -69,6 +91,27 @@ def test_packing_covers_every_id_once(odd, empty):
     assert packing.pack(packing.token_pieces(empty)).count() == 0
 
 
+def test_packing_is_near_the_least_number_of_sequences(spark):
+    r = random.Random(8)
+    sizes = [min(2048, int(r.paretovariate(1.1) * 90)) for _ in range(8_000)]
+    rows = [(None if k == 3 else (1 << 60) + k, n, "mine", k) for k, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "doc_id long, length long, open string, old_id long").repartition(120)
+    out = packing.pack(df)
+    assert out.columns == ["doc_id", "length", "open", "old_id", "sequence_id", "offset"]
+    got = out.collect()
+    assert sorted((r.old_id, r.doc_id, r.length, r.open) for r in got) == sorted((k, i, n, "mine") for i, n, _, k in rows)
+    used = collections.defaultdict(list)
+    for row in got:
+        used[row.sequence_id].append((row.offset, row.length))
+    for own in used.values():
+        own.sort()
+        assert [o for o, _ in own] == [0, *np.cumsum([n for _, n in own])[:-1]] and sum(n for _, n in own) <= 2048
+    assert len(used) <= 1.05 * sum(sizes) / 2048 + 1
+    # in one partition with all bins open, best fit is best fit
+    bins = packing.OpenBins(2048, 10**9)
+    assert len({bins.place(n)[0] for n in sizes}) <= 1.02 * sum(sizes) / 2048 + 1
+
+
 def test_open_bins_take_the_tightest_and_close_the_fullest():
     bins = packing.OpenBins(10, 2)
     assert bins.place(6) == (0, 0, None) and bins.place(7) == (1, 0, None)
@@ -77,7 +120,7 @@ def test_open_bins_take_the_tightest_and_close_the_fullest():
     assert bins.place(5) == (4, 0, 2)  # the bin with nine of ten goes
 
 
-def test_token_files_round_trip(spark, odd, empty):
+def test_token_files_round_trip(spark, odd, empty, tmp_path):
     r = np.random.RandomState(0)
     for n in (0, 1, 127, 128, 1000):
         ids = np.where(r.rand(n) < 0.03, r.randint(0, 1 << 32, n, dtype=np.uint64), r.randint(0, 900, n)).astype(np.uint32)
@@ -85,11 +128,17 @@ def test_token_files_round_trip(spark, odd, empty):
         assert back.tolist() == ids.tolist() and doc.tolist() == [7] and counts.tolist() == [n]
     path = shared_path(spark, "t")
     tokenfile.write_tokens(odd, path)
-    out = tokenfile.read_tokens(spark, path).toPandas().sort_values("start")
-    assert out.doc_id.is_monotonic_increasing and out.start.tolist() == [0, *np.cumsum(out.n_tokens)[:-1]]
+    out = tokenfile.read_tokens(spark, path).toPandas().astype({"doc_id": "Int64"}).sort_values("start")
+    assert out.doc_id.isna().tolist() == [True] * 2 + [False] * (len(out) - 2) and out.doc_id[out.doc_id.notna()].is_monotonic_increasing
+    assert out.start.tolist() == [0, *np.cumsum(out.n_tokens)[:-1]]
     e = tokens.encoder(tokens.tokenizer_path())
-    want = sorted((r[0], zlib.crc32(np.array([*e.tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 1], "<u4").tobytes())) for r in odd_rows())
-    assert sorted(zip(out.doc_id, out.ids_crc32, strict=True)) == want and [zlib.crc32(x) for x in out.ids] == out.ids_crc32.tolist()
+    want = sorted((-1 if r[0] is None else r[0], zlib.crc32(np.array([*e.tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 1], "<u4").tobytes())) for r in odd_rows())
+    assert sorted(zip(out.doc_id.fillna(-1).tolist(), out.ids_crc32, strict=True)) == want and [zlib.crc32(x) for x in out.ids] == out.ids_crc32.tolist()
+    folder = tmp_path / "files"
+    files = [r.file for r in tokenfile.export_files(spark, path, folder.as_uri()).collect()]
+    assert sorted(files) == sorted(x.name for x in folder.iterdir())
+    ids = [int(x) for f in files for x in tokenfile.decode_segment((folder / f).read_bytes())[2]]
+    assert ids == [int(x) for own in out.ids for x in np.frombuffer(own, "<u4")]
     path = shared_path(spark, "t")
     tokenfile.write_tokens(empty, path)
     assert tokenfile.read_tokens(spark, path).count() == 0
@@ -117,22 +166,45 @@ def _classes(ids, linked):
     return {i: top(i) for i in ids}
 
 
-@pytest.mark.parametrize("which", ["odd", "family"])
+def _near(rows, percent=85):
+    """The component of each row's document, by all pairs of texts."""
+    sets = _sets(list(enumerate(t for _, t in rows)))
+    linked = [(a, b) for a in sets for b in sets if a < b and (rows[a][0] is not None and rows[a][0] == rows[b][0] and sets[a] and sets[b] or sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]))]
+    top = _classes(sets, linked)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[top[k]] = min(least.get(top[k], i), i)
+    return sorted(((i, len(sets[k]), least.get(top[k]) if sets[k] else i, i == (least.get(top[k]) if sets[k] else i)) for k, (i, _) in enumerate(rows)), key=str)
+
+
+@pytest.mark.parametrize("which", ["odd", "family", "dense", "shared"])
 def test_near_duplicates_equal_brute_force(spark, odd, which):
+    r = random.Random(5)
     if which == "odd":
-        docs, rows = odd, [(r[0], r[1]) for r in odd_rows()]
-    else:  # a chain of copies, each two words from the last, and unrelated texts that share a passage
-        r, words, rows = random.Random(5), prose(9, 300).split(), []
+        rows = [(r[0], r[1]) for r in odd_rows()]
+    elif which == "family":  # a chain of copies, each two words from the last, and unrelated texts that share a passage
+        words, rows = prose(9, 300).split(), []
         for i in range(60):
             words[r.randrange(300)] = f"w{i}"
             rows.append((i * 3, " ".join(words)))
         rows += [(1000 + i, prose(100 + i, 150) + " " + prose(50, 60)) for i in range(40)]
-        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    sets = _sets(rows)
-    linked = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
-    want = _classes(sets, linked)
-    for row in minhash.near_duplicates(docs).collect():
-        assert (row.n_shingles, row.component_id, row.kept) == (len(sets[row.doc_id]), want[row.doc_id], want[row.doc_id] == row.doc_id)
+    elif which == "dense":  # many texts of one template, most pairs of them between 0.8 and 0.9
+        rows = []
+        for i in range(260):
+            words = prose(9 + i % 3, 300).split()
+            for k in r.sample(range(300), 5 + i % 4):
+                words[k] = f"w{i}x{k}"
+            rows.append((10_000 - i, " ".join(words)))
+    else:  # ids of several texts, with and without an id
+        a, b, c, d = (prose(60 + k, 100) for k in range(4))
+        rows = [(1, a), (5, a), (5, b), (9, b.replace(b.split()[50], "x", 1)), (None, c), (7, c), (7, None), (None, d), (None, d), (2, ""), (2, prose(70, 3)), (3, prose(70, 3)), (None, None)]
+    docs = odd if which == "odd" else spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((tuple(x) for x in minhash.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept").collect()), key=str) == _near(rows)
+    if which == "dense":
+        sets = _sets(rows)
+        alike = [100 * len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b]
+        assert sum(83 <= x < 85 for x in alike) > 300 < sum(85 <= x < 87 for x in alike)
 
 
 def test_odd_sketch_estimates_high_similarity():
@@ -194,37 +266,40 @@ def test_skip_edges_carry_a_label_to_distant_repeats():
     assert pii.marginals([pii.Graph(text, base)], (w, chain, skip * 0))[0][1].max() < 0.3
 
 
-def test_line_dedup_equals_brute_force(spark, odd, empty):
-    near = prose(3, 30)
-    rows = [(50, "short\n" + near), (51, near + "x\nshort"), (52, near[1:] + "\n" + near), (53, None), (54, prose(8, 25) + "\n" + near[:9] + "Q" + near[10:])]
-    docs = odd.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id <> 5 or text is not null").dropDuplicates(["doc_id"])
-    data = sorted(docs.toPandas().itertuples(index=False), key=lambda r: r.doc_id)
-    places = [(r.doc_id, k, x) for r in data for k, line in enumerate((r.text or "").split("\n")) if len(x := line.strip(" ")) >= 20 and len(re.findall(r"[^ \t\x0b\f\r]+", x)) >= 5]
-    first = {}
-    for i, k, x in places:
-        first.setdefault(x, (i, k))
-
-    def close(a, b):
-        if len(a) > len(b):
-            a, b = b, a
-        k = 0
-        while k < len(a) and a[k] == b[k]:
-            k += 1
-        return len(b) - len(a) <= 1 and (a[k + 1 :] == b[k + 1 :] if len(a) == len(b) else a[k:] == b[k + 1 :])
-
-    keyed = collections.defaultdict(list)
-    for x in first:
-        keyed[x[:8]].append(x)
-        keyed["end" + x[-8:]].append(x)
-    linked = [(first[a], first[b]) for own in keyed.values() for a in own for b in own if a < b and abs(len(a) - len(b)) < 2 and close(a, b)]
-    assert len(set(linked)) >= 3
-    top = _classes(list(first.values()), linked)
-    want = collections.defaultdict(list)
-    for i, k, x in places:
-        if top[first[x]] != (i, k):
-            want[i].append(k)
-    got = {r.doc_id: r.drops or [] for r in linededup.drop_repeated_lines(docs).collect()}
-    assert got == {r.doc_id: want.get(r.doc_id, []) for r in data}
+def _plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        last, row = row, [i]
+        for j, d in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (c != d)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("shortest", [20, 0])
+def test_line_dedup_equals_brute_force(spark, odd, empty, shortest):
+    near, words = prose(3, 30), 5 if shortest else 0
+    rows = [(50, "short\n" + near), (51, near + "x\nshort"), (52, near[1:] + "\n" + near), (53, None), (54, prose(8, 25) + "\n" + near[:9] + "QRS" + near[12:]), (5, "x\n" + near), (5, "y\nA line that stands here alone, once."), (1 << 62, near + "\n\tAll rights reserved. \nlast"), (-(1 << 62), "All rights reserved."), (None, near + "\nonly without id"), (None, "last\n" + near + "!")]
+    docs = odd.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    data = [(i, t or "") for i, t in [(r[0], r[1]) for r in odd_rows()] + rows]
+    places = sorted(((i is not None, i or 0, t, k, x) for i, t in set(data) for k, line in enumerate(t.split("\n")) if len(x := line.strip(" \t\x0b\f\r")) >= max(shortest, 1)), key=lambda p: p[:2])
+    lines = sorted({p[4] for p in places})
+    close = [x for x in lines if len(re.findall(r"[^ \t\x0b\f\r]+", x)) >= words]
+    linked = [(x, y) for x in close for y in close if x < y and abs(len(x) - len(y)) <= 3 and min(len(x), len(y)) >= 10 and len(x) < 5_000 and _plain_distance(x, y) <= min(3, min(len(x), len(y)) // 10)]
+    assert len(linked) >= 3
+    top = _classes(lines, linked)
+    by_class = collections.defaultdict(list)
+    for p in places:
+        by_class[top[p[4]]].append(p[:4])
+    got = collections.defaultdict(set)
+    for r in linededup.drop_repeated_lines(docs.withColumn("drops", F.lit(1)), min_chars=shortest, min_words=words).collect():
+        before = next(t for i, t in data if i == r.doc_id and (t == r.text or r.drops and "\n".join(x for k, x in enumerate(t.split("\n")) if k not in r.drops).strip() == r.text.strip()))
+        got[(r.doc_id is not None, r.doc_id or 0, before)].add(tuple(r.drops or []))
+    assert all(len(x) == 1 for x in got.values())
+    dropped = {(*doc, k) for doc, (drops,) in ((d, tuple(x)) for d, x in got.items()) for k in drops}
+    for own in by_class.values():  # one stays, and it is of the least document
+        kept = [p for p in own if p not in dropped]
+        assert len(kept) == 1 and kept[0][:2] == min(p[:2] for p in own) and kept[0][3] == min(p[3] for p in own if p[:3] == kept[0][:3])
+    assert dropped <= {p[:4] for p in places}
     assert linededup.drop_repeated_lines(empty).count() == 0
     assert linededup.drop_repeated_lines(odd).count() == len(odd_rows())
 
@@ -271,27 +346,78 @@ def test_myers_equals_plain_distance():
             last, row = row, [i]
             for j, d in enumerate(t, 1):
                 row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (c != d)))
-        assert decontam.myers_ends(a, t, 99)[0] == (min(row[1:]) if t and min(row[1:]) < len(a) + 1 else decontam.myers_ends(a, t, 99)[0])
+        best = min(row[1:], default=len(a))
+        assert decontam.myers_ends(a, t, 99) == (best, row.index(best, 1)) if t else decontam.myers_ends(a, t, 99) == (100, -1)
+        assert decontam.myers_ends(a, t, best - 1) == (best, -1)
+
+
+def test_items_equal_brute_force():
+    """Of all occurrences of an item in a text the best, and so on left and right of it, by comparing the whole text."""
+    r, n = random.Random(3), 0
+    for _ in range(300):
+        item = ("".join(r.choice("abc ") for _ in range(r.choice([3, 5, 9, 45]))) * 20)[: r.randint(45, 90)].strip()
+        text = ""
+        for _ in range(r.randint(0, 4)):
+            copy = list(item)
+            for _ in range(r.randint(0, 4)):
+                at = r.randrange(len(copy))
+                copy[at : at + r.randint(0, 1)] = r.choice("abcx") * r.randint(0, 1)
+            text += "".join(r.choice("abc ") for _ in range(r.randint(0, 30))) + "".join(copy)
+        want, todo = [], [(0, len(text))]
+        while todo and len(item) >= decontam.MIN_CHARS:
+            low, high = todo.pop()
+            if hit := decontam.match(item, text, low, high):
+                want.append((0, *hit))
+                todo += [(low, hit[1]), (hit[2], high)]
+        if len(item) >= decontam.MIN_CHARS:
+            assert sorted(decontam.Finder([item]).search(text)) == sorted(want)
+            n += len(want)
+    assert n > 300
 
 
 def test_html_blocks_and_network():
+    texts = lambda page: [b.text for b in htmltext.blocks(page)]
     page = "<html><!-- x --><nav><a href='>'>menu</a></nav><article><h1>A&amp;B</h1><p>one<br>two &#233;<p>three <b>x</b>y</article>< not a tag<script>var a='<p>';</script><p"
-    assert [b.text for b in htmltext.blocks(page)] == ["menu", "A&B", "one two é", "three xy", "< not a tag <p"] or [b.text for b in htmltext.blocks(page)][:4] == ["menu", "A&B", "one two é", "three xy"]
-    assert htmltext.blocks("") == [] and htmltext.blocks("<" * 2_000) and htmltext.blocks("<p " * 500)
+    assert texts(page) == ["menu", "A&B", "one two é", "three xy", "< not a tag"]
+    assert texts("") == [] and texts("<" * 2_000) == ["<" * 2_000] and texts("<p " * 500) == []
+    assert texts("""<article><p title="Bob's">First.</p><p>Second.</p><p>I don't know <b>it</b>.</p><p>Last.</p>""") == ["First.", "Second.", "I don't know it.", "Last."]
+    assert texts(f"""<p data-x="{'y' * 20_000}>t">A</p><p title='y>z'>B</p><p x=">C</p><p>D""") == ["A", "B", "C", "D"]
+    deep = htmltext.blocks("<div class='outer'>" * 3_000 + "<a>link</a>" + "</div>" * 3_000 + "<p>after")
+    assert [(b.text, b.links, b.depth) for b in deep] == [("link", 4, 6_000), ("after", 0, 1)]
+    labels = " ".join("abcdefghijklmnopqrstuvwxyz"[k % 26] * (k // 26 + 1) for k in range(40))
+    assert htmltext.blocks(f"<p class='{labels}'>x")[0].depth == 41
+    a, b = (htmltext.inputs(htmltext.blocks("<p>" + "word " * 100 + x))[1] for x in ("", "other"))
+    assert abs(a[0, : htmltext.WORD_DIM] - b[0, : htmltext.WORD_DIM]).sum() > 0  # the last of many words counts
     network, right, total = htmltext.trained(pages=250, epochs=8), 0, 0
     for k in range(60):
         page, labels = htmltext.made_page(10**8 + k)
         own = htmltext.blocks(page)
-        got = network.label([own], {})[0] >= 0.5
+        got = network.label([own])[0] >= 0.5
         assert len(own) == len(labels)
         right, total = right + int((got == np.array(labels)).sum()), total + len(labels)
     assert right / total > 0.98
 
 
+def test_op7_finds_the_articles_of_the_pages(spark):
+    """Where a page says ``article``, its blocks less the parts named otherwise are the main text."""
+    sf, other = "/root/testdata/sf0.01", ("aside", "nav", "form", "footer", ".ad", ".comments")
+    got = {r.page_id: r for r in htmltext.op7_html_main_text(spark, sf).collect()}
+    pages, right, total = spark.read.parquet(f"{sf}/pages.parquet").collect(), 0, 0
+    ids = lambda names: {htmltext._hash(x) % htmltext.PATH_DIM for x in names}
+    assert len(got) == len(pages)
+    for p in pages:
+        own = htmltext.blocks(p.html or "")
+        want = "\n\n".join(b.text for b in own if ids(["article"]) <= set(b.path) and not ids(other) & set(b.path))
+        if any(ids(["article"]) <= set(b.path) for b in own):
+            right, total = right + (got[p.page_id].text == want), total + 1
+        assert got[p.page_id].n_chars == len(got[p.page_id].text)
+    assert total > 0.5 * len(pages) and right / total > 0.98
+
+
 def test_html_gradients():
-    network, paths = htmltext.Network(1), {}
+    network = htmltext.Network(1)
     page, labels = htmltext.made_page(3)
-    data = [(*htmltext.inputs(htmltext.blocks(page), paths), np.array(labels, np.float32))]
+    data = [(*htmltext.inputs(htmltext.blocks(page)), np.array(labels, np.float32))]
     _, g = network.gradients(data)
     for name, at in (("xf", (3, 5)), ("hb", (2, 40)), ("dense", (70, 4)), ("out", (7, 0))):
         old = network.p[name][at]
@@ -305,8 +431,12 @@ def test_html_gradients():
 
 def test_main_text_of_odd_pages(spark):
     rows = [(1, "u", None, "x"), (2, None, "", "x"), (3, "u", "<p>" * 3_000, "x"), (3, "u", "<p>" * 3_000, "x")]
-    got = htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string"), htmltext.Network()).collect()
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = htmltext.main_text(pages, htmltext.Network()).collect()
     assert sorted(r.page_id for r in got) == [1, 2, 3, 3] and all(r.text == "" for r in got)
+    kept = htmltext.main_text(pages, htmltext.Network(), keep=("url", "text", "html"))
+    assert kept.columns == ["page_id", "url", "page_text", "html", "text", "n_blocks"] and kept.first().page_text == "x"
+    assert htmltext.main_text(pages.limit(0), htmltext.Network()).count() == 0
 
 
 def test_quality_counts_equal_brute_force(small, odd):
@@ -333,9 +463,45 @@ def test_quality_and_toxicity_models(spark, sf, small, odd, empty):
     assert quality.quality_rows(odd, model).count() == len(odd_rows()) and quality.quality_rows(empty, None).count() == 0
     kept = quality.keep_quality(odd, model)
     assert kept.columns == odd.columns and kept.where("text is null").count() == 0
-    chain = toxicity.train([(r.doc_id, r.text, int(r.toxic)) for r in small.join(labels, "doc_id").toPandas().itertuples()])
+    rows = [(r.doc_id, r.text, int(r.quality), int(r.toxic)) for r in small.join(labels, "doc_id").where("text is not null").toPandas().itertuples()]
+    chain = toxicity.train(rows)
     assert toxicity.toxicity(odd, chain).where("doc_id < 3 and (toxic or p_toxic > 0)").count() == 0
+    assert toxicity.toxicity(odd, chain).count() == len(odd_rows())
     assert toxicity.toxicity(empty, None).count() == 0 and toxicity.train([]) is None
+    one = toxicity.train([(*r[:2], 1, r[3]) for r in rows])  # no text of low quality
+    got = toxicity.toxicity(small, one)
+    assert got.where("low_quality or toxic_low_quality").count() == 0 and got.where("toxic").count() > 0
+
+
+def _labelled(sf, columns):
+    import duckdb
+
+    return duckdb.execute(f"select doc_id, text, {columns} from '{sf}/documents.parquet' join '{sf}/labels.parquet' using (doc_id) where text is not null order by hash(doc_id)").fetchall()
+
+
+def test_toxicity_and_quality_on_held_out_rows(spark):
+    rows = _labelled("/root/testdata/sf0.1", "quality, toxic")[:1800]
+    train, held = sorted(rows[:1200]), rows[1200:]
+    docs = spark.createDataFrame([r[:2] for r in held], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, toxicity.train(train)).collect()}
+    toxic = [r[0] for r in held if r[3]]
+    assert sum(got[i].toxic for i in toxic) > 0.7 * len(toxic)
+    assert sum(got[r[0]].toxic for r in held if not r[3]) < 0.05 * len(held)
+    model = quality.train([r[:3] for r in train])
+    kept = {r.doc_id: r.kept for r in quality.quality_rows(docs, model).collect()}
+    good = [r[0] for r in held if r[2]]
+    assert sum(kept[i] for i in good) > 0.93 * len(good)
+    assert sum(not kept[r[0]] for r in held if not r[2]) > 0.6 * (len(held) - len(good))
+
+
+def test_samples_of_labels(spark, tmp_path):
+    from provena.llm.common import bounded_labels, fitted
+
+    spark.createDataFrame([(1, "b"), (1, "a"), (2, None), (3, "c"), (None, "d")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 0), (1, 1), (2, 1), (3, None), (None, 1), (4, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = bounded_labels(spark, str(tmp_path), ("toxic",), 100)
+    assert [tuple(r) for r in rows.collect()] == [(1, "a", 1)]
+    assert fitted(rows, lambda found: found) == [(1, "a", 1)] and fitted(rows.limit(0), lambda found: len(found)) == 0
 
 
 def test_linear_model_learns_held_out_words():
@@ -367,6 +533,8 @@ def test_warc_revisits(spark):
     assert {k: (r.response_id, r.reason) for k, r in got.items()} == {"r1": ("a", "etag"), "r2": ("a", "etag"), "r3": (None, "etag differs"), "r4": (None, "no response"), "r5": (None, "no response"), "r6": ("b", "etag"), "r7": (None, "no validator")}
     assert got["r1"].headers == {"etag": 'W/"1"', "content-length": "5", "date": "new"} and bytes(got["r1"].payload) == b"first" and got["r1"].status == 200
     assert warc.resolve_revisits(df.limit(0)).count() == 0
+    twice = warc.resolve_revisits(df.union(df).withColumn("status2", F.lit(1)).withColumn("reason", F.lit("x")), carry=("payload", "reason"))
+    assert twice.count() == 14 and twice.where("payload is not null and own_reason = 'x'").count() == 6
 
 
 def test_warc_reading(spark, tmp_path):
@@ -375,6 +543,16 @@ def test_warc_reading(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(record * 2 + record[:50])
     rows = warc.read_warc(spark, str(tmp_path)).collect()
     assert len(rows) == 2 and rows[0].status == 200 and bytes(rows[0].payload) == b"<p>x</p>" and rows[0].headers["etag"] == '"1"'
+    import gzip
+
+    member = gzip.compress(record)
+    bad = record.replace(b"Content-Length: %d" % len(http), b"Content-Length: many")
+    for data, n in ((member * 3, 3), (member * 2 + member[:40], 2), (member + b"\x1f\x8bnonsense", 1), (gzip.compress(record * 2)[:-3], 2), (record + bad + record, 2), (b"", 0), (b"\x1f\x8b", 0), (b"none", 0), (record[:-30], 0)):
+        found = list(warc.parse_warc(data))
+        assert len(found) == n and all(x["payload"] == b"<p>x</p>" for x in found)
+    (tmp_path / "b.warc.gz").write_bytes(member[:-20])
+    (tmp_path / "c.warc").write_bytes(record.replace(b"2024-01-01T00", b"yesterday"))
+    assert [r.date is None for r in warc.read_warc(spark, str(tmp_path)).collect()].count(True) == 1
 
 
 def test_pipeline_keeps_clean_documents(spark, sf):
