@@ -41,15 +41,27 @@ def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return lines.withColumn("line", F.btrim("line", F.lit(_SPACE))).where((F.char_length("line") >= min_chars) & (F.col("line") != ""))
 
 
-def _segments(n: Column, threshold: int) -> list[tuple[Column, Column]]:
-    """Zero-based start and length of the segments of a line of ``n`` characters; the last ones are a character longer."""
-    base, longer = F.floor(n / (threshold + 1)), n % (threshold + 1)
-    first_longer = F.lit(threshold + 1) - longer
-    return [(i * base + F.greatest(F.lit(0), F.lit(i) - first_longer), base + F.when(F.lit(i) >= first_longer, 1).otherwise(0)) for i in range(threshold + 1)]
+def places(threshold: int) -> list[tuple[int, int, int]]:
+    """Where a line may hold the segments of one that is ``less`` shorter: ``segment, less, shift``. Edits before a segment move it,
+    and those behind it must still make up the lengths."""
+    out = []
+    for less in range(threshold + 1):
+        for i in range(threshold + 1):
+            out += [(i, less, shift) for shift in range(max(-i, less - (threshold - i)), min(i, less + (threshold - i)) + 1)]
+    return out
 
 
-def _key(length: Column, i: int, segment: Column) -> Column:
-    return F.xxhash64(length, F.lit(i), segment)
+def segment_keys(lines: DataFrame, at: list[tuple[int, int, int]], threshold: int) -> DataFrame:
+    """``id, n, counts, key``: a row for each of the places ``at``, whose key is the digest of (length, segment number, segment). A line
+    of ``n`` characters has ``threshold + 1`` segments, the last ones a character longer. The places are exploded first: one small
+    expression per row compiles well, where one for all of them would not."""
+    where = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(less).alias("less"), F.lit(shift).alias("shift")) for i, less, shift in at])
+    rows = lines.withColumn("wide", F.encode("line", "UTF-32")).select("id", "n", "counts", "wide", F.explode(where).alias("p"))
+    length, i, parts = F.col("n") - F.col("p.less"), F.col("p.i"), threshold + 1
+    base, first_longer = F.floor(length / parts).cast("int"), F.lit(parts) - length % parts
+    start = i * base + F.greatest(F.lit(0), i - first_longer) + F.col("p.shift")
+    size = base + F.when(i >= first_longer, 1).otherwise(0)
+    return rows.select("id", "n", "counts", F.xxhash64(length, i, F.substr("wide", start * 4 + 1, size * 4)).alias("key"))
 
 
 def measured(lines: DataFrame) -> DataFrame:
@@ -68,31 +80,33 @@ def counts_apart(a: Column, b: Column) -> Column:
 
 
 def candidates(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs ``a, b`` of ids that share a segment where it may stand; ``lines`` has ``id, line, n, counts``."""
-    length = F.col("n")
-    index = F.array(*[_key(length, i, F.substr("line", (start + 1).cast("int"), size.cast("int"))) for i, (start, size) in enumerate(_segments(length, threshold))])
-    probes = []
-    for less in range(threshold + 1):
-        for i, (start, size) in enumerate(_segments(length - less, threshold)):
-            low, high = max(-i, less - (threshold - i)), min(i, less + (threshold - i))
-            probes += [_key(length - less, i, F.substr("line", (start + shift + 1).cast("int"), size.cast("int"))) for shift in range(low, high + 1)]
-    left = lines.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("counts").alias("pa"), F.explode(F.array_distinct(index)).alias("key"))
-    right = lines.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("pb"), F.explode(F.array_distinct(F.array(*probes))).alias("key"))
+    """Pairs ``a, b`` of ids that share a segment where it may stand; ``lines`` has ``id, line, n, counts``. The index, of
+    ``threshold + 1`` rows a line, is the side that a task holds; a key with many rows is split by adaptive execution."""
+    index = segment_keys(lines, [(i, 0, 0) for i in range(threshold + 1)], threshold).toDF("a", "na", "pa", "key")
+    probes = segment_keys(lines, places(threshold), threshold).toDF("b", "nb", "pb", "probe")
     near = counts_apart(F.col("pa"), F.col("pb")) <= 2 * threshold
-    pairs = left.join(right, (left.key == right.key) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (F.col("nb") - F.col("na") <= threshold) & near)
+    shorter = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    pairs = index.hint("shuffle_hash").join(probes, (F.col("key") == F.col("probe")) & shorter & (F.col("nb") - F.col("na") <= threshold) & near)
     return pairs.select("a", "b").distinct()
 
 
 def banded_distance(a: Column, b: Column, threshold: int) -> Column:
     """Edit distance of character arrays, ``a`` not longer than ``b`` by more than ``threshold`` either way; any result above
-    ``threshold`` means farther. Bit k of a column's vectors stands for the character k - ``threshold`` away from the diagonal."""
+    ``threshold`` means farther. Bit k of a column's vectors stands for the character k - ``threshold`` away from the diagonal. The
+    distance along the band's edge never falls, and from its end the corner is at most ``threshold`` and the difference of lengths away,
+    so beyond twice the one and the other the rest is passed over."""
     width = 2 * threshold + 1
     mask = (1 << width) - 1
     n, m = F.size(a), F.size(b)
     whole, flip = F.lit(mask).cast("long"), lambda x: x.bitwiseXOR(F.lit(mask).cast("long"))
     init = F.struct(F.lit(mask & ~((1 << threshold) - 1)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.lit(threshold).cast("long").alias("d"))
 
+    hopeless = 2 * threshold + m - n
+
     def step(s: Column, j: Column) -> Column:
+        return F.when(s["d"] > hopeless, s).otherwise(moved(s, j))
+
+    def moved(s: Column, j: Column) -> Column:
         c, x = F.get(b, j), F.lit(0).cast("long")
         for k in range(width):
             x = x.bitwiseOR(F.when(F.get(a, j - threshold + k) == c, F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
@@ -137,10 +151,10 @@ def repeated(docs: DataFrame, threshold: int = THRESHOLD, percent: int = PERCENT
     """``doc_id, hash, drops``: the line numbers of each document that an earlier line of their class makes redundant."""
     places = occurrences(docs, min_chars)
     lines = places.groupBy("line").agg(F.count("*").alias("times")).select("line", *_code("line"), "times")
-    lines = materialize(lines, "lines")
+    lines = materialize(measured(lines), "lines")
     # a line too short for one edit is near to none but itself
-    compared = lines.where(worded(F.col("line"), min_words) & (F.char_length("line") * percent >= 100))
-    labels = components(materialize(links(measured(compared.select("id", "line")), threshold, percent), "links"))
+    compared = lines.where(worded(F.col("line"), min_words) & (F.col("n") * percent >= 100))
+    labels = components(materialize(links(compared.select("id", "line", "n", "counts"), threshold, percent), "links"))
     found = lines.join(labels.hint("merge"), F.col("id") == F.col("node"), "left").where("times > 1 or component is not null")
     found = materialize(found.select("id", "id2", F.coalesce("component", "id").alias("class")), "repeated")
     rows = places.select(F.struct("doc_id", "hash", "pos").alias("place"), *_code("line")).join(found.hint("merge"), ["id", "id2"])
