@@ -7,6 +7,8 @@ its own. Tables that a later one replaces are removed with ``discard``.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import pickle
 import re
 import tempfile
@@ -74,9 +76,22 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def trim() -> None:
+    """Gives free memory back to the system, so that a worker that lives on holds no more than it uses."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` in batches of bounded size; a worker trims its memory at the end of each task."""
     tune(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        trim()
+
+    return df.mapInArrow(run, schema)
 
 
 def raw_texts(column: pa.Array) -> list[bytes]:

@@ -227,7 +227,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text") ->
             for batch in batches:
                 yield batch.filter(pa.array([not (t and finder.search(normal(t))) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = map_batches(docs, run, schema)
     return docs
 
 

@@ -15,8 +15,15 @@ from provena.llm.common import Words, cut, mix
 DIM, GRAMS = 1 << 18, (3, 4, 5)
 
 
-def word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of each word, one after the other, and where those of each word start (one more for the end)."""
+def word_features(words: pa.Array, step: int = 16_384) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of each word, one after the other, and where those of each word start (one more for the end); ``step`` words at
+    a time."""
+    parts = [_word_features(words.slice(at, step)) for at in range(0, len(words), step)]
+    ends = np.concatenate([np.diff(s) for _, s in parts]) if parts else np.empty(0, np.int64)
+    return np.concatenate([f for f, _ in parts]) if parts else np.empty(0, np.int32), np.concatenate([[0], np.cumsum(ends)])
+
+
+def _word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     texts = [b"\x02" + w.lower() + b"\x03" for w in cut(words)]
     data = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))

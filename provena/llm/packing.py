@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provena.llm.common import map_batches, materialize, table, tune
+from provena.llm.common import map_batches, materialize, table
 from provena.llm.tokens import encoder, tokenizer_path
 
 CAPACITY, OPEN_BINS, SEPARATOR = 2048, 96, 0
@@ -118,17 +118,16 @@ def _packer(length: str, capacity: int, limit: int, schema: T.StructType):
 
 def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces of 1 to ``capacity`` ids; two narrow passes and one join of left-overs."""
-    tune(pieces.sparkSession)
     pieces = pieces.drop("sequence_id", "offset")
     columns = pieces.columns
     added = [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("__pack_open", T.BooleanType())]
     schema = T.StructType([*pieces.schema.fields, *added])
-    first = materialize(pieces.mapInArrow(_packer(length, capacity, open_bins, schema), schema), "packed")
+    first = materialize(map_batches(pieces, _packer(length, capacity, open_bins, schema), schema), "packed")
     left = first.where("__pack_open").groupBy("sequence_id").agg(F.sum(length).alias("length"))
     tasks = max(1, -(-pieces.rdd.getNumPartitions() // FAN_IN))
     again = left.withColumnRenamed("sequence_id", "__pack_old").repartition(tasks)
     schema = T.StructType([*again.schema.fields, *added])
-    moved = again.mapInArrow(_packer("length", capacity, open_bins, schema), schema)
+    moved = map_batches(again, _packer("length", capacity, open_bins, schema), schema)
     # ids of the second round are negative: none is in use yet
     moved = materialize(moved.select("__pack_old", (-1 - F.col("sequence_id")).alias("__pack_new"), F.col("offset").alias("__pack_shift")), "merged")
     rest = first.where("__pack_open").join(moved, F.col("sequence_id") == F.col("__pack_old"))

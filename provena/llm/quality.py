@@ -135,7 +135,7 @@ def keep_quality(docs: DataFrame, model: tuple | None, text: str = "text") -> Da
                 keep &= sigmoid(a * (Texts(words, "mean").scores(w) + extra_columns(counts) @ v) + b) >= THRESHOLD
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def quality_model(spark: SparkSession, sf_dir: str) -> tuple | None:
