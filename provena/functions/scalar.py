@@ -1,6 +1,6 @@
 """Scalar functions as column expressions: digests and framed fingerprints, identifiers, versions and their intervals, text spans.
 
-Argument matching and byte-offset splicing are order-sensitive walks over short arrays; they are Arrow-batched pandas UDFs.
+Argument matching is an order-sensitive walk over short arrays; it is an Arrow-batched pandas UDF.
 """
 
 from __future__ import annotations
@@ -218,21 +218,18 @@ def location(text: Column, offset: Column) -> Column:
     return F.struct(line.alias("line"), (F.char_length(F.substring_index(before, "\n", -1)) + 1).alias("column"))
 
 
-@F.pandas_udf(T.StringType())
-def splice(text: pd.Series, edits: pd.Series) -> pd.Series:
-    """Replaces byte ranges (``start, end, text`` each, not overlapping) from right to left; null if two overlap or one is outside."""
+def splice(text: Column | str, edits: Column) -> Column:
+    """Replaces byte ranges (``start, end, text`` each); null if two overlap or one is outside."""
+    raw = (F.col(text) if isinstance(text, str) else text).cast("binary")
+    part = lambda a, b: F.substr(raw, (a + 1).cast("int"), (b - a).cast("int"))
+    first = F.struct(F.lit(b"").alias("out"), F.lit(0).alias("at"), F.lit(False).alias("bad"))
 
-    def one(source: str | None, own) -> str | None:
-        if source is None:
-            return None
-        data, last = source.encode(), None
-        for e in sorted(own if own is not None else [], key=lambda e: (e["start"], e["end"]), reverse=True):
-            if e["start"] > e["end"] or e["end"] > (len(data) if last is None else last):
-                return None
-            data, last = data[: e["start"]] + (e["text"] or "").encode() + data[e["end"] :], e["start"]
-        return data.decode(errors="replace")
+    def step(s: Column, e: Column) -> Column:
+        wrong = s["bad"] | (e["start"] < s["at"]) | (e["start"] > e["end"]) | (e["end"] > F.octet_length(raw))
+        return F.struct(F.when(wrong, s["out"]).otherwise(F.concat(s["out"], part(s["at"], e["start"]), F.coalesce(e["text"], F.lit("")).cast("binary"))).alias("out"), e["end"].cast("int").alias("at"), F.coalesce(wrong, F.lit(True)).alias("bad"))
 
-    return pd.Series([one(t, e) for t, e in zip(text, edits, strict=True)])
+    whole = lambda s: F.when(~s["bad"], F.concat(s["out"], part(s["at"], F.octet_length(raw)))).cast("string")
+    return F.when(raw.isNotNull(), F.aggregate(F.array_sort(F.coalesce(edits, F.array().cast("array<struct<start:int,end:int,text:string>>"))), first, step, whole))
 
 
 def match_arguments(formals: list[str], names: list[str | None]) -> tuple[list[int | None], str | None]:

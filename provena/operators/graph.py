@@ -1,12 +1,14 @@
 """Graph operators over edge tables ``src, dst``: reachability, shortest paths, components, orders, projections.
 
-Reach, levels, attribution and projection run as semi-naive loops on distributed tables. Strong components, depth-first and stable
-topological orders depend on exact order; graphs of at most ``KERNEL_EDGES`` edges go through one grouped pandas kernel, larger ones
-through distributed colouring (components) or levels (orders).
+Reach, levels, attribution, projection and trees run as semi-naive loops on distributed tables. Strong components of at most
+``KERNEL_EDGES`` edges go through one grouped pandas kernel, larger ones through distributed colouring, with the same result. The
+depth-first and the stable topological order are sequential by definition: they are for graphs of packages, which fit one task;
+``topological_levels`` is the distributed order.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
 import pandas as pd
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from provena.plans.fixpoint import fixpoint
 from provena.plans.storage import cut
 
-KERNEL_EDGES = 2_000_000
+KERNEL_EDGES = 200_000
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -36,11 +38,11 @@ def stats(edges: DataFrame) -> DataFrame:
     return degrees.agg(F.count("*").alias("nodes"), F.coalesce(F.sum("o"), F.lit(0)).cast("long").alias("edges"), F.max("o").cast("long").alias("max_out"), F.max("i").cast("long").alias("max_in"))
 
 
-def levels(edges: DataFrame, roots: DataFrame, limit: int = 10_000) -> DataFrame:
+def levels(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """``node, distance`` from the nearest root (``roots`` has ``node``), level by level; each level joins only its frontier."""
     e = cut(adjacency(edges).select(F.col("src").alias("node"), "dst"), "edges")
     step = lambda delta, done: delta.join(e, "node").select(F.col("dst").alias("node"), (F.col("distance") + 1).alias("distance"))
-    return fixpoint(roots.select("node", F.lit(0).cast("long").alias("distance")), [step], ["node"], limit)
+    return fixpoint(roots.select("node", F.lit(0).cast("long").alias("distance")), [step], ["node"])
 
 
 def reach(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -161,24 +163,32 @@ def condensation(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def redundant(edges: DataFrame) -> DataFrame:
-    """``src, dst, redundant`` of an acyclic graph: another successor of ``src`` reaches ``dst``."""
+    """``src, dst, redundant`` of an acyclic graph: another successor of ``src`` reaches ``dst``. Only nodes with several successors
+    ask, and only from those successors."""
     e = cut(adjacency(edges), "edges")
-    paths = closure(e).toDF("via", "to")
-    other = e.select(F.col("src").alias("s"), F.col("dst").alias("via"))
-    hit = other.join(paths, "via").select(F.col("s").alias("src"), F.col("to").alias("dst")).distinct().withColumn("hit", F.lit(True))
+    several = e.groupBy("src").agg(F.count("*").alias("n")).where("n > 1").select(F.col("src").alias("s"))
+    asked = cut(e.join(several, e.src == F.col("s"), "left_semi").select(F.col("src").alias("s"), F.col("dst").alias("via")), "asked")
+    right = e.select(F.col("src").alias("mid"), F.col("dst").alias("to"))
+    seed = asked.select("via").distinct().join(right, F.col("via") == F.col("mid")).select("via", "to")
+    step = lambda delta, done: delta.withColumnRenamed("to", "at").join(right, F.col("at") == F.col("mid")).select("via", "to")
+    paths = fixpoint(seed, [step], ["via", "to"])
+    hit = asked.join(paths, "via").select(F.col("s").alias("src"), F.col("to").alias("dst")).distinct().withColumn("hit", F.lit(True))
     return e.join(hit, ["src", "dst"], "left").select("src", "dst", F.coalesce("hit", F.lit(False)).alias("redundant"))
 
 
-def projected(edges: DataFrame, opaque: DataFrame, limit: int = 10_000) -> DataFrame:
+def projected(edges: DataFrame, opaque: DataFrame, limit: int | None = None) -> DataFrame:
     """``src, dst, hops`` between opaque nodes (``opaque`` has ``node``) over paths whose inner nodes are all transparent; the fewest
-    hops. A transparent node is entered once for each start."""
+    hops. A transparent node is entered once for each start. ``limit``: only paths of so many hops, if given."""
     e = cut(adjacency(edges), "edges")
     ends = cut(opaque.select(F.col("node").alias("o")).distinct(), "opaque")
     seed = e.join(ends, e.src == ends.o, "left_semi").select("src", "dst", F.lit(1).cast("long").alias("hops"))
     right = e.select(F.col("src").alias("mid"), F.col("dst").alias("to"))
+
     def step(delta: DataFrame, done: DataFrame) -> DataFrame:
-        inner = delta.join(ends, delta.dst == ends.o, "left_anti").where(F.col("hops") < limit)
+        inner = delta.join(ends, delta.dst == ends.o, "left_anti")
+        inner = inner if limit is None else inner.where(F.col("hops") < limit)
         return inner.join(right, inner.dst == right.mid).select("src", F.col("to").alias("dst"), (F.col("hops") + 1).alias("hops"))
+
     found = fixpoint(seed, [step], ["src", "dst"], first=["hops"])
     return found.join(ends, found.dst == ends.o, "left_semi").where("src <> dst")
 
@@ -209,17 +219,27 @@ def topological_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def _stable(frame: pd.DataFrame) -> pd.DataFrame:
     """Repeatedly the first ready node in preferred order; if none is, the first left, marked."""
     order = frame.drop_duplicates("node").sort_values("preferred")["node"].tolist()
-    needs: dict = {n: set() for n in order}
+    place = {n: k for k, n in enumerate(order)}
+    needs: list[set] = [set() for _ in order]
+    wanted: list[list[int]] = [[] for _ in order]
     for n, d in zip(frame["node"], frame["needs"], strict=True):
-        if d is not None and not pd.isna(d) and d in needs and d != n:
-            needs[n].add(d)
-    rows: list = []
-    done: set = set()
-    while order:
-        at = next((k for k, n in enumerate(order) if needs[n] <= done), None)
-        node = order.pop(at or 0)
-        done.add(node)
-        rows.append((node, len(rows), at is None))
+        if d is not None and not pd.isna(d) and d in place and d != n and place[d] not in needs[place[n]]:
+            needs[place[n]].add(place[d])
+            wanted[place[d]].append(place[n])
+    ready = [k for k in range(len(order)) if not needs[k]]
+    done, rows, first = [False] * len(order), [], 0
+    while len(rows) < len(order):
+        broke = not ready
+        if broke:
+            while done[first]:
+                first += 1
+        k = first if broke else heapq.heappop(ready)
+        done[k] = True
+        rows.append((order[k], len(rows), broke))
+        for other in wanted[k]:
+            needs[other].discard(k)
+            if not needs[other] and not done[other]:
+                heapq.heappush(ready, other)
     return pd.DataFrame(rows, columns=["node", "position", "broke_cycle"])
 
 
@@ -258,22 +278,34 @@ def load_order(edges: DataFrame) -> DataFrame:
     return in_one_group(edges.select("src", "dst", "pos", "root"), _post_order, f"node {kind}, position long")
 
 
+def owners(edges: DataFrame, nodes: DataFrame, root) -> DataFrame:
+    """``node, owner``: the root for what it reaches, else the least node that reaches it (or itself). Labels move along edges, a round
+    for each step of the longest way that one takes."""
+    e = cut(adjacency(edges), "edges")
+    first = cut(reach(e, nodes.where(F.col("node") == root).select("node").distinct()), "first")
+    left = nodes.select("node").distinct().join(first, "node", "left_anti")
+    label = cut(left.select("node", F.col("node").alias("owner")), "owner")
+    inner = cut(e.join(label.select(F.col("node").alias("n")), F.col("dst") == F.col("n"), "left_semi"), "inner")
+    moved = label
+    while not moved.isEmpty():
+        got = inner.join(moved, inner.src == moved.node).groupBy(F.col("dst").alias("node")).agg(F.min("owner").alias("got"))
+        both = cut(label.join(got, "node", "left"), "both")
+        label = both.select("node", F.least("owner", "got").alias("owner"))
+        moved = both.where("got < owner").select("node", F.col("got").alias("owner"))
+    return first.select("node", F.lit(root).cast(label.schema["owner"].dataType).alias("owner")).unionByName(label)
+
+
 def spanning_tree(edges: DataFrame, nodes: DataFrame, root) -> DataFrame:
     """``node, parent, depth``: breadth-first tree with the least parent; nodes that the root does not reach start trees of their own,
-    the least of those left first."""
-    left, trees, top = cut(nodes.select("node").distinct(), "nodes"), None, root
-    while True:
-        start = left.where(F.col("node") == top)
-        own = cut(shortest_paths(edges.join(left.toDF("n"), F.col("dst") == F.col("n"), "left_semi"), start).select("node", "parent", F.col("distance").alias("depth")), "tree")
-        trees = own if trees is None else trees.unionByName(own)
-        left = cut(left.join(own, "node", "left_anti"), "nodes")
-        row = left.agg(F.min("node")).first()
-        if row[0] is None:
-            return trees
-        top = row[0]
-
-
-def first_by(df: DataFrame, key: list[str], order: list[str | Column]) -> DataFrame:
-    """The first row of each key: "first wins" with an explicit order."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    the least of those left first. All trees grow at once, each over the nodes that it owns."""
+    own = cut(owners(edges, nodes, root), "owners")
+    a, b = own.toDF("src", "a"), own.toDF("dst", "b")
+    inside = edges.join(a, "src").join(b, "dst").where("a = b").select("src", "dst")
+    found = shortest_paths(inside, own.where("node = owner").select("node"))
+    return found.select("node", "parent", F.col("distance").alias("depth"))
+
+
+def first_by(df: DataFrame, key: list[str], order: list[str | Column], last: bool = False) -> DataFrame:
+    """The first row of each key in an explicit order (or the ``last`` one): combined before the shuffle."""
+    best = (F.max_by if last else F.min_by)(F.struct(*df.columns), F.struct(*order))
+    return df.groupBy(*[F.col(c).alias(f"__key{k}") for k, c in enumerate(key)]).agg(best.alias("__best")).select("__best.*")

@@ -24,12 +24,12 @@ def cascade(uses: DataFrame, sources: list[tuple[str, DataFrame]], keys: list[st
     return uses.join(best, keys, "left").select(*uses.columns, *[F.col(f"__best.{c}").alias(c) for c in carry], F.col("__best.found_in").alias("found_in"))
 
 
-def ancestors(parents: DataFrame, limit: int = 128) -> DataFrame:
+def ancestors(parents: DataFrame) -> DataFrame:
     """``scope, ancestor, depth`` of a ``scope, parent`` table, each scope at depth 0; cycles end, as an ancestor comes once."""
     p = cut(parents.where("parent is not null").select("scope", "parent").distinct(), "parents")
     seed = parents.select("scope", F.col("scope").alias("ancestor"), F.lit(0).alias("depth")).union(p.select("parent", "parent", F.lit(0))).distinct()
     right = p.select(F.col("scope").alias("s"), F.col("parent").alias("up"))
-    step = lambda delta, done: delta.where(F.col("depth") < limit).join(right, F.col("ancestor") == F.col("s")).select("scope", F.col("up").alias("ancestor"), (F.col("depth") + 1).alias("depth"))
+    step = lambda delta, done: delta.join(right, F.col("ancestor") == F.col("s")).select("scope", F.col("up").alias("ancestor"), (F.col("depth") + 1).alias("depth"))
     return fixpoint(seed, [step], ["scope", "ancestor"], first=["depth"])
 
 
@@ -43,7 +43,7 @@ def nearest(uses: DataFrame, chain: DataFrame, names: DataFrame) -> DataFrame:
 
 def last_wins(rows: DataFrame, key: list[str], order: list[str | Column]) -> DataFrame:
     """A later binding of a name replaces an earlier one."""
-    return first_by(rows, key, [(F.col(c) if isinstance(c, str) else c).desc() for c in order])
+    return first_by(rows, key, order, last=True)
 
 
 def import_all(imports: DataFrame, exports: DataFrame) -> DataFrame:
@@ -73,13 +73,13 @@ def expand_exports(patterns: DataFrame, names: DataFrame, listed: DataFrame) ->
     return listed.select("package", "export", "binding").union(found).distinct()
 
 
-def definitions(aliases: DataFrame, limit: int = 128) -> DataFrame:
+def definitions(aliases: DataFrame) -> DataFrame:
     """Follows re-exports ``package, name -> to_package, to_name`` to where no alias leads on: ``package, name, def_package, def_name,
     hops``; names whose aliases only go in a circle have null definitions."""
     a = cut(aliases.select("package", "name", "to_package", "to_name").distinct(), "aliases")
     seed = a.select("package", "name", F.col("to_package").alias("def_package"), F.col("to_name").alias("def_name"), F.lit(1).alias("hops"))
     right = a.toDF("p", "n", "tp", "tn")
-    step = lambda delta, done: delta.where(F.col("hops") < limit).join(right, (F.col("def_package") == F.col("p")) & (F.col("def_name") == F.col("n"))).select("package", "name", F.col("tp").alias("def_package"), F.col("tn").alias("def_name"), (F.col("hops") + 1).alias("hops"))
+    step = lambda delta, done: delta.join(right, (F.col("def_package") == F.col("p")) & (F.col("def_name") == F.col("n"))).select("package", "name", F.col("tp").alias("def_package"), F.col("tn").alias("def_name"), (F.col("hops") + 1).alias("hops"))
     every = fixpoint(seed, [step], ["package", "name", "def_package", "def_name"], first=["hops"])
     ends = every.join(right, (F.col("def_package") == F.col("p")) & (F.col("def_name") == F.col("n")), "left_anti")
     best = ends.groupBy("package", "name").agg(F.min(F.struct("hops", "def_package", "def_name")).alias("b"))
@@ -91,7 +91,7 @@ def sole_owner(symbols: DataFrame) -> DataFrame:
     return symbols.groupBy("package", "name").agg(F.when(F.count_distinct("component") == 1, F.min("component")).alias("component"))
 
 
-def matching_creator(names: DataFrame, creators: DataFrame, broadcast_bytes: int = 8 << 20) -> DataFrame:
+def matching_creator(names: DataFrame, creators: DataFrame) -> DataFrame:
     """Each free name with the least creator that can bind it: one of that name, or one that binds any name (null ``created``).
     ``names`` has ``use, scope, name``; ``creators`` has ``creator, scope, created``. The theta join is two equi joins."""
     named = names.join(creators.where("created is not null").withColumnRenamed("created", "name"), ["scope", "name"]).select("use", "creator")

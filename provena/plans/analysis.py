@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.operators import graph, report, resolve
+from provena.operators import graph, policy, report, resolve
 from provena.plans.storage import cut
 from provena.schemas import with_all
 
@@ -61,12 +61,9 @@ def analyze(spark: SparkSession, tables: dict[str, DataFrame], options: Options)
     t = with_all(spark, tables)
     packages = cut(resolve.roles(t["packages"], options.root, options.external), "packages")
     role = packages.select(F.col("name").alias("target"), "role")
-    optional = t["relations"].where("field = 'Suggests'").select("package", F.col("dep").alias("guard")).distinct()
-    required = t["relations"].where("field in ('Imports', 'Depends')").select("package", F.col("dep").alias("guard")).distinct()
-    chosen = [*options.linked, *options.external]
     # a guard prunes what needs a package that is absent, or optional and not selected
-    guards = optional.join(required, ["package", "guard"], "left_anti").join(packages.select(F.col("name").alias("guard"), F.lit(True).alias("present")), "guard", "left")
-    guards = guards.select("package", "guard", F.when(F.col("present").isNull(), "absent").when(~F.col("guard").isin(*chosen), "unselected").otherwise("active").alias("state"))
+    declared = policy.declared(t["relations"], t["imports"])
+    guards = policy.guard_states(declared, packages, [*options.linked, *options.external])
 
     def active(facts: DataFrame) -> DataFrame:
         pruned = guards.where("state <> 'active'").select("package", "guard")
@@ -98,6 +95,9 @@ def analyze(spark: SparkSession, tables: dict[str, DataFrame], options: Options)
     access = F.when(F.col("role").isNull(), node_id("missing", F.col("target"))).when(F.col("role") == "External", node_id("external", F.col("target"), F.col("name"))).when(F.col("binding").isNotNull() | F.col("internal"), node_id("binding", F.col("target"), F.coalesce("binding", "name"))).when(F.col("data"), node_id("dataset", F.col("target"), F.col("name")))
     possible.append(q.where(access.isNotNull()).select(*_edge(own_id(), access, "QualifiedReference", "qualified access", source)))
     loads = active(t["calls"]).where(F.col("callee").isin(*LOADS) & F.col("literal").isNotNull()).withColumn("target", F.col("literal")).join(role, "target", "left")
+    # asking for a package that is absent and only suggested demands nothing
+    suggested = declared.where("kind = 'suggested'").select("package", F.col("dep").alias("target"), F.lit(True).alias("may_lack"))
+    loads = loads.join(suggested, ["package", "target"], "left").where("role is not null or may_lack is null").drop("may_lack")
     loaded = F.when(F.col("role").isNull(), node_id("missing", F.col("target"))).when(F.col("role") == "External", node_id("package", F.col("target"))).otherwise(node_id("activation", F.col("target")))
     possible.append(loads.select(*_edge(own_id(), loaded, "NamespaceCall", "loads a namespace", source)))
     files = t["files"].withColumnRenamed("path", "literal").withColumn("there", F.lit(True)).distinct()

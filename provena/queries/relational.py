@@ -287,26 +287,6 @@ def edge_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 EDGE_ID = "select n_name, r_name, sha256(from_hex(hex(n_name::blob) || '00' || hex(r_name::blob))) as id from nation join region on n_regionkey = r_regionkey"
 
 
-def cache_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First writer wins: the documents of the first source are cached, the others only add what is new."""
-    d = read(spark, sf_dir, "documents").select(scalar.digest("text").alias("name"), "doc_id", "source")
-    cached = d.where("source = 'src0'").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
-    new = d.where("source <> 'src0'").groupBy("name").agg(F.min("doc_id").alias("doc_id")).join(cached, "name", "left_anti")
-    return cached.withColumn("written", F.lit("before")).union(new.withColumn("written", F.lit("now")))
-
-
-PUBLISH = """with d as (select sha256(text) as name, doc_id, source from documents), c as (select name, min(doc_id) as doc_id from d where source = 'src0' group by 1)
-select name, doc_id, 'before' as written from c union all select name, min(doc_id), 'now' from d where source <> 'src0' and name not in (select name from c) group by 1"""
-
-
-def cache_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents")
-    return d.groupBy("lang", "source").agg(F.count("*").alias("entries"), F.sum(F.octet_length("text")).cast("long").alias("bytes"))
-
-
-REPORT = "select lang, source, count(*) as entries, sum(strlen(text))::bigint as bytes from documents group by 1, 2"
-
-
 def identifier_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").select(F.explode(scalar.identifiers(F.col("text"))).alias("token"))
     return d.groupBy("token").agg(F.count("*").alias("n"))
@@ -347,19 +327,12 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 JSON = "select event_type, sum((props->>'$.k')::bigint)::bigint as sum_k, count(props->>'$.k') as n from events group by 1"
 
 
-def arg_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roles of each conversation's turns, abbreviated, matched against fixed formals (no SQL: tested case by case)."""
-    c = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.substr("role", F.lit(1), F.lit(3)).alias("r")))).alias("t"))
-    m = c.select("conv_id", scalar.matched(F.array(F.lit("user"), F.lit("assistant"), F.lit("..."), F.lit("system")), F.col("t.r")).alias("m"))
-    return m.select("conv_id", F.col("m.assigned").alias("assigned"), F.col("m.error").alias("error"))
-
-
 def role_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.when(F.col("n_regionkey") == 0, "base").alias("priority"))
-    return resolve.roles(p, "FRANCE", ["CHINA", "INDIA"]).select("name", "role")
+    return resolve.roles(p, "NATION_1", ["NATION_3", "NATION_7"]).select("name", "role")
 
 
-ROLES = "select n_name as name, case when n_name = 'FRANCE' then 'Root' when n_name in ('CHINA', 'INDIA') or n_regionkey = 0 then 'External' else 'Linked' end as role from nation"
+ROLES = "select n_name as name, case when n_name = 'NATION_1' then 'Root' when n_name in ('NATION_3', 'NATION_7') or n_regionkey = 0 then 'External' else 'Linked' end as role from nation"
 
 
 def sole_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -380,7 +353,7 @@ PRESENTATION = """select p_type as component, arg_min(['Environment', 'Package',
 _ALL = {
     last_wins_import: LAST_WINS, priority_resolve: PRIORITY, scope_chain: SCOPE, missing_targets: MISSING, export_expansion: EXPORTS, guard_verdict: GUARDS, range_tagging: TAGGING, innermost_region: INNERMOST, span_overlap: OVERLAP,
     theta_creators: THETA, anti_removed: ANTI, full_outer_diff: DIFF, coalesce_edges: COALESCE, edge_evidence: EVIDENCE, diagnostics_dedup: DEDUP, derived_grouping: GROUPING, evidence_summary: SUMMARY, coverage_lattice: COVERAGE,
-    dispatch_classes: DISPATCH, package_summary: PACKAGES, set_ops: SETS, version_intersect: VERSIONS, sha_identity: SHA, framed_fingerprint: FRAMED, edge_identity: EDGE_ID, cache_publish: PUBLISH, cache_report: REPORT,
-    identifier_tokens: TOKENS, text_splice: SPLICE, link_extract: LINKS, json_props: JSON, arg_match: None, role_policy: ROLES, sole_owner: SOLE, presentation_kind: PRESENTATION,
+    dispatch_classes: DISPATCH, package_summary: PACKAGES, set_ops: SETS, version_intersect: VERSIONS, sha_identity: SHA, framed_fingerprint: FRAMED, edge_identity: EDGE_ID, 
+    identifier_tokens: TOKENS, text_splice: SPLICE, link_extract: LINKS, json_props: JSON, role_policy: ROLES, sole_owner: SOLE, presentation_kind: PRESENTATION,
 }
 QUERIES = {f.__name__: (f, sql) for f, sql in _ALL.items()}

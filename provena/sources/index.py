@@ -36,13 +36,13 @@ def decode(index: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def members(objects: DataFrame, limit: int = 128) -> DataFrame:
-    """Member table ``object, member, parent, depth`` below each root object by levels, at most ``limit`` deep."""
+def members(objects: DataFrame) -> DataFrame:
+    """Member table ``object, member, parent, depth`` below each root object by levels; a member comes once."""
     from provena.plans.fixpoint import fixpoint
 
     tops = objects.where("parent is null").select("object", F.col("object").alias("member"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"))
     right = objects.where("parent is not null").select(F.col("object").alias("child"), F.col("parent").alias("up"))
-    step = lambda delta, done: delta.where(F.col("depth") < limit).join(right, F.col("member") == F.col("up")).select("object", F.col("child").alias("member"), F.col("up").alias("parent"), (F.col("depth") + 1).alias("depth"))
+    step = lambda delta, done: delta.join(right, F.col("member") == F.col("up")).select("object", F.col("child").alias("member"), F.col("up").alias("parent"), (F.col("depth") + 1).alias("depth"))
     return fixpoint(tops, [step], ["object", "member"], first=["depth"])
 
 

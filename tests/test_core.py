@@ -191,8 +191,10 @@ def test_emitted_text(spark):
     lines = emit.namespace_lines(t([("p", "x")], "package string, export string"), t([("p", 2, "all", "q", None), ("p", 1, "from", "r", [("a", "b")])], "package string, pos int, kind string, from_pkg string, names array<struct<local:string,remote:string>>"), t([("p", "lib")], "package string, component string"), t([("p", "print", "k", "print.k")], "package string, generic string, class string, method string"))
     assert emit.text(lines, ["package"]).first().text.split("\n") == ['export("x")', 'importFrom("r", "a" = "b")', 'import("q")', 'useDynLib("lib")', 'S3method("print", "k", "print.k")']
     fields = t([("p", "Title", "T"), ("p", "Depends", "linked, R (>= 3.5), (bad"), ("p", "Built", "x")], "package string, field string, value string")
+    fields = fields.union(t([("p", "Collate", "a.R b.R"), ("p", "NeedsCompilation", "no"), ("p", "RemoteSha", "1f"), ("p", "Suggests", "x, linked (>= 2)")], fields.schema))
     new, problems = emit.description(fields, t([("linked", "Linked")], "name string, role string"), t([("p", "methods")], "package string, text string"))
-    assert sorted((r.field, r.value) for r in new.collect()) == [("Depends", "R (>= 3.5)"), ("Imports", "methods"), ("Title", "T")] and [r.text for r in problems.collect()] == ["(bad"]
+    assert sorted((r.field, r.value) for r in new.collect()) == [("Depends", "linked, R (>= 3.5), (bad"), ("Imports", "methods"), ("NeedsCompilation", "no"), ("RemoteSha", "1f"), ("Suggests", "x"), ("Title", "T")]
+    assert sorted(r.problem for r in problems.collect()) == ["cannot be read: (bad", "names the linked package linked"]
 
 
 def test_root_specs():
