@@ -3,7 +3,7 @@
 Distinct lines within ``THRESHOLD`` edits of each other, and ``PERCENT`` hundredths of the shorter one's characters, are linked by a
 segment-partition join: a line is cut into THRESHOLD + 1 segments, of which one must survive in any line so near, at a place that
 lengths and edits bound. Index rows (length, segment number, segment) meet the substrings that a line at least as long may hold them
-at; the counts of eight letters, which an edit changes by two in all at most, are compared in the join, so a common segment costs no
+at; the counts of 24 letters, which an edit changes by two in all at most, are compared in the join, so a common segment costs no
 rows. Survivors are verified by a banded bit-parallel edit distance, folded over the characters with 64-bit columns. Linked lines form
 classes; of each class the first occurrence (by document, its text's hash, line) stays and all others are dropped.
 
@@ -27,7 +27,9 @@ from provena.llm.common import materialize, table
 from provena.llm.components import components
 
 THRESHOLD, PERCENT, MIN_CHARS, MIN_WORDS = 3, 10, 20, 5
-_SPACE, _LETTERS = " \t\x0b\f\r", "etaonish"
+_SPACE = " \t\x0b\f\r"
+#: Letters that are counted in each of two columns, five bits a letter.
+_LETTERS = ("etaonishrdlu", "cmgpbfvkwzyj")
 
 
 def worded(line: Column, words: int) -> Column:
@@ -65,18 +67,23 @@ def segment_keys(lines: DataFrame, at: list[tuple[int, int, int]], threshold: in
 
 
 def measured(lines: DataFrame) -> DataFrame:
-    """``lines`` with ``n``, the characters, and ``counts``, those of each letter of ``_LETTERS`` modulo 128, seven bits each."""
-    n, counts = F.char_length("line"), F.lit(0).cast("long")
-    for k, letter in enumerate(_LETTERS):
-        counts = counts.bitwiseOR(F.shiftleft(((n - F.char_length(F.replace("line", F.lit(letter), F.lit("")))) % 128).cast("long"), 7 * k))
-    return lines.withColumn("n", n.cast("int")).withColumn("counts", counts)
+    """``lines`` with ``n``, the characters, and ``counts``, those of each letter of ``_LETTERS`` modulo 32."""
+    n = F.char_length("line")
+
+    def packed(letters: str) -> Column:
+        out = F.lit(0).cast("long")
+        for k, letter in enumerate(letters):
+            out = out.bitwiseOR(F.shiftleft(((n - F.char_length(F.replace("line", F.lit(letter), F.lit("")))) % 32).cast("long"), 5 * k))
+        return out
+
+    return lines.withColumn("n", n.cast("int")).withColumn("counts", F.struct(*[packed(letters).alias(f"c{k}") for k, letters in enumerate(_LETTERS)]))
 
 
 def counts_apart(a: Column, b: Column) -> Column:
     """Sum of the letters' differences: an edit adds two at most."""
-    part = lambda x, k: F.shiftright(x, 7 * k).bitwiseAND(F.lit(127).cast("long"))
-    apart = [F.pmod(part(a, k) - part(b, k), F.lit(128)) for k in range(len(_LETTERS))]
-    return sum((F.least(x, 128 - x) for x in apart[1:]), F.least(apart[0], 128 - apart[0]))
+    part = lambda x, k: F.shiftright(x, 5 * k).bitwiseAND(F.lit(31).cast("long"))
+    apart = [F.pmod(part(a[f"c{j}"], k) - part(b[f"c{j}"], k), F.lit(32)) for j, letters in enumerate(_LETTERS) for k in range(len(letters))]
+    return sum((F.least(x, 32 - x) for x in apart[1:]), F.least(apart[0], 32 - apart[0]))
 
 
 def candidates(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
