@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provena.operators import graph, policy, report, resolve
-from provena.plans.storage import cut
+from provena.plans.storage import counted, cut
 from provena.schemas import with_all
 
 #: Calls that load, attach or query a namespace named by a literal.
@@ -135,14 +135,15 @@ def analyze(spark: SparkSession, tables: dict[str, DataFrame], options: Options)
         base = there.join(base_generic, "generic", "left_semi").select(*_edge(F.col("home"), F.col("dst"), "Registration", "registers a method of a base generic"))
         return exact.unionByName(open_).unionByName(base).distinct()
 
-    reached = graph.reach(edges, start)
+    reached = cut(graph.reach(edges, start), "reached")
     while True:
-        more = cut(dispatched(reached).join(edges, ["src", "dst", "kind"], "left_anti").select(edges.columns), "dispatch")
-        if more.isEmpty():
+        more, n = counted(dispatched(reached).join(edges, ["src", "dst", "kind"], "left_anti").select(edges.columns), "dispatch")
+        if not n:
             break
         edges = cut(edges.unionByName(more), "possible")
-        reached = graph.reach(edges, start)
-    reached = cut(reached, "reached")
+        # only what the new edges lead to is new
+        entered = more.join(reached, more.src == reached.node, "left_semi").select(F.col("dst").alias("node")).distinct().join(reached, "node", "left_anti")
+        reached = cut(reached.union(graph.reach(edges, entered)).distinct(), "reached")
     kept = cut(edges.join(reached, edges.src == reached.node, "left_semi"), "edges")
     parts = F.regexp_extract("node", "^[a-z]+:([^:/]+)", 1)
     nodes = reached.select("node", parts.alias("package"), F.initcap(F.split_part("node", F.lit(":"), F.lit(1))).alias("kind"), F.nullif(F.regexp_extract("node", "^[a-z]+:[^:/]+(?:::|/)(.*)$", 1), F.lit("")).alias("name"))

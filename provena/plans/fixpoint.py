@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provena.plans.storage import cut
+from provena.plans.storage import counted, cut
 
 Rule = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -38,8 +38,8 @@ def fixpoint(seed: DataFrame, rules: Sequence[Rule], key: Sequence[str], limit:
         for rule in rules:
             own = rule(delta, done).select(seed.columns)
             found = own if found is None else found.unionByName(own)
-        delta = cut(once(found).join(done.select(key), key, "left_anti").select(seed.columns), "delta")
-        if delta.isEmpty():
+        delta, n = counted(once(found).join(done.select(key), key, "left_anti").select(seed.columns), "delta")
+        if not n:
             return done
         parts.append(delta)
         if len(parts) > 16:
@@ -52,8 +52,8 @@ def stratified(seed: DataFrame, strata: Sequence[Callable[[DataFrame], DataFrame
     done = cut(strata[0](seed), "stratum")
     for _ in range(limit):
         for later in strata[1:]:
-            more = cut(later(done).dropDuplicates(list(key)).join(done.select(list(key)), list(key), "left_anti").select(done.columns), "more")
-            if not more.isEmpty():
+            more, n = counted(later(done).dropDuplicates(list(key)).join(done.select(list(key)), list(key), "left_anti").select(done.columns), "more")
+            if n:
                 done = cut(strata[0](done.unionByName(more)), "stratum")
                 break
         else:

@@ -6,7 +6,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -25,3 +26,8 @@ def cut(df: DataFrame, name: str = "round") -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
+
+def counted(df: DataFrame, name: str = "round") -> tuple[DataFrame, int]:
+    """``cut``, and the number of rows that it wrote, observed while it did."""
+    rows = Observation()
+    return cut(df.observe(rows, F.count(F.lit(1)).alias("n")), name), rows.get["n"]
