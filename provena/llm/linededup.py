@@ -3,8 +3,8 @@
 Distinct lines within ``THRESHOLD`` edits of each other, and ``PERCENT`` hundredths of the shorter one's characters, are linked by a
 segment-partition join: a line is cut into THRESHOLD + 1 segments, of which one must survive in any line so near, at a place that
 lengths and edits bound. Index rows (length, segment number, segment) meet the substrings that a line at least as long may hold them
-at; the counts of 24 letters, which an edit changes by two in all at most, are compared in the join, so a common segment costs no
-rows. Survivors are verified by a banded bit-parallel edit distance, folded over the characters with 64-bit columns. Linked lines form
+at; the counts of 15 letters, which an edit changes by two in all at most, are compared in the join, so a common segment costs no
+rows, and parities of pairs of characters thin them further. Survivors are verified by a banded bit-parallel edit distance, folded over the characters with 64-bit columns. Linked lines form
 classes; of each class the first occurrence (by document, its text's hash, line) stays and all others are dropped.
 
 Lines are compared without outer white space; they keep their text. Lines under ``MIN_CHARS`` characters always stay, and those under
@@ -28,8 +28,8 @@ from provena.llm.components import components
 
 THRESHOLD, PERCENT, MIN_CHARS, MIN_WORDS = 3, 10, 20, 5
 _SPACE = " \t\x0b\f\r"
-#: Letters that are counted in each of two columns, five bits a letter.
-_LETTERS = ("etaonishrdlu", "cmgpbfvkwzyj")
+#: Letters that are counted, four bits a letter.
+_LETTERS = "etaonishrdlucmg"
 
 
 def worded(line: Column, words: int) -> Column:
@@ -54,8 +54,8 @@ def places(threshold: int) -> list[tuple[int, int, int]]:
 
 
 def segment_keys(lines: DataFrame, at: list[tuple[int, int, int]], threshold: int) -> DataFrame:
-    """``id, n, counts, key``: a row for each of the places ``at``, whose key is the digest of (length, segment number, segment). A line
-    of ``n`` characters has ``threshold + 1`` segments, the last ones a character longer. The places are exploded first: one small
+    """``id, counts, key, less``: a row for each of the places ``at``, whose key is the digest of (length, segment number, segment). A
+    line of ``n`` characters has ``threshold + 1`` segments, the last ones a character longer. The places are exploded first: one small
     expression per row compiles well, where one for all of them would not."""
     where = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(less).alias("less"), F.lit(shift).alias("shift")) for i, less, shift in at])
     rows = lines.withColumn("wide", F.encode("line", "UTF-32")).select("id", "n", "counts", "wide", F.explode(where).alias("p"))
@@ -63,38 +63,36 @@ def segment_keys(lines: DataFrame, at: list[tuple[int, int, int]], threshold: in
     base, first_longer = F.floor(length / parts).cast("int"), F.lit(parts) - length % parts
     start = i * base + F.greatest(F.lit(0), i - first_longer) + F.col("p.shift")
     size = base + F.when(i >= first_longer, 1).otherwise(0)
-    return rows.select("id", "n", "counts", F.xxhash64(length, i, F.substr("wide", start * 4 + 1, size * 4)).alias("key"))
+    return rows.select("id", "counts", F.xxhash64(length, i, F.substr("wide", start * 4 + 1, size * 4)).alias("key"), F.col("p.less").alias("less"))
 
 
 def measured(lines: DataFrame) -> DataFrame:
-    """``lines`` with ``n``, the characters, and ``counts``, those of each letter of ``_LETTERS`` modulo 32."""
-    n = F.char_length("line")
-
-    def packed(letters: str) -> Column:
-        out = F.lit(0).cast("long")
-        for k, letter in enumerate(letters):
-            out = out.bitwiseOR(F.shiftleft(((n - F.char_length(F.replace("line", F.lit(letter), F.lit("")))) % 32).cast("long"), 5 * k))
-        return out
-
-    return lines.withColumn("n", n.cast("int")).withColumn("counts", F.struct(*[packed(letters).alias(f"c{k}") for k, letters in enumerate(_LETTERS)]))
+    """``lines`` with ``n``, the characters, and ``counts``, those of each letter of ``_LETTERS`` modulo 16; its last four bits are free."""
+    n, counts = F.char_length("line"), F.lit(0).cast("long")
+    for k, letter in enumerate(_LETTERS):
+        counts = counts.bitwiseOR(F.shiftleft(((n - F.char_length(F.replace("line", F.lit(letter), F.lit("")))) % 16).cast("long"), 4 * k))
+    return lines.withColumn("n", n.cast("int")).withColumn("counts", counts)
 
 
 def counts_apart(a: Column, b: Column) -> Column:
     """Sum of the letters' differences: an edit adds two at most."""
-    part = lambda x, k: F.shiftright(x, 5 * k).bitwiseAND(F.lit(31).cast("long"))
-    apart = [F.pmod(part(a[f"c{j}"], k) - part(b[f"c{j}"], k), F.lit(32)) for j, letters in enumerate(_LETTERS) for k in range(len(letters))]
-    return sum((F.least(x, 32 - x) for x in apart[1:]), F.least(apart[0], 32 - apart[0]))
+    part = lambda x, k: F.shiftright(x, 4 * k).bitwiseAND(F.lit(15).cast("long"))
+    apart = [F.pmod(part(a, k) - part(b, k), F.lit(16)) for k in range(len(_LETTERS))]
+    return sum((F.least(x, 16 - x) for x in apart[1:]), F.least(apart[0], 16 - apart[0]))
 
 
 def candidates(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs ``a, b`` of ids that share a segment where it may stand; ``lines`` has ``id, line, n, counts``. The index, of
-    ``threshold + 1`` rows a line, is the side that a task holds; a key with many rows is split by adaptive execution."""
-    index = segment_keys(lines, [(i, 0, 0) for i in range(threshold + 1)], threshold).toDF("a", "na", "pa", "key")
-    probes = segment_keys(lines, places(threshold), threshold).toDF("b", "nb", "pb", "probe")
+    """Pairs ``a, b`` of ids that share a segment where it may stand; ``lines`` has ``id, line, n, counts``. The rows that meet are
+    small: a key, an id, and the counts, in whose free bits a probe says whether it is for a line as long as its own (the key has the
+    lengths). The index, of ``threshold + 1`` rows a line, is the side that a task holds; a key with many rows is split by adaptive
+    execution."""
+    index = segment_keys(lines, [(i, 0, 0) for i in range(threshold + 1)], threshold).select(F.col("id").alias("a"), F.col("counts").alias("pa"), "key")
+    probes = segment_keys(lines, places(threshold), threshold)
+    longer = F.shiftleft((F.col("less") > 0).cast("long"), 60)
+    probes = probes.select(F.col("id").alias("b"), F.col("counts").bitwiseOR(longer).alias("pb"), F.col("key").alias("probe"))
     near = counts_apart(F.col("pa"), F.col("pb")) <= 2 * threshold
-    shorter = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    pairs = index.hint("shuffle_hash").join(probes, (F.col("key") == F.col("probe")) & shorter & (F.col("nb") - F.col("na") <= threshold) & near)
-    return pairs.select("a", "b").distinct()
+    shorter = (F.shiftright("pb", 60) > 0) | (F.col("a") < F.col("b"))
+    return index.hint("shuffle_hash").join(probes, (F.col("key") == F.col("probe")) & shorter & near).select("a", "b").distinct()
 
 
 def banded_distance(a: Column, b: Column, threshold: int) -> Column:
@@ -140,13 +138,40 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), m - 1), init, step, lambda s: s["d"])
 
 
+def shared_prefix(a: Column, b: Column, most: Column) -> Column:
+    """Characters, ``most`` at most, with which both lines begin: bit by bit from the highest."""
+    steps = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
+    grown = lambda at, step: F.when((at + step <= most) & (F.substr(a, at + 1, step) == F.substr(b, at + 1, step)), at + step).otherwise(at)
+    return F.aggregate(F.filter(steps, lambda step: step <= most), F.lit(0), grown)
+
+
+def pair_bits(chars: Column) -> list[Column]:
+    """128 parities of the hashed pairs of neighbouring characters; an edit flips four at most."""
+    codes = F.zip_with(chars, F.slice(chars, 2, F.size(chars)), lambda x, y: F.when(y.isNotNull(), F.xxhash64(x, y).bitwiseAND(F.lit(127))))
+    one = lambda v: F.call_function("shiftleft", F.lit(1).cast("long"), v.bitwiseAND(F.lit(63)).cast("int"))
+    flip = lambda half: lambda acc, v: F.when(F.shiftright(v, 6) == half, acc.bitwiseXOR(one(v))).otherwise(acc)
+    return [F.aggregate(codes, F.lit(0).cast("long"), flip(half)).alias(f"bits{half}") for half in (0, 1)]
+
+
 def links(lines: DataFrame, threshold: int = THRESHOLD, percent: int = PERCENT) -> DataFrame:
     """All pairs ``a, b`` of ids of ``lines`` (of ``measured``) within ``threshold`` edits and ``percent`` hundredths of the
-    shorter one's characters."""
+    shorter one's characters. Pairs are thinned by ``pair_bits`` before their lines are joined to them."""
     pairs = materialize(candidates(lines, threshold), "pairs")
-    needed = materialize(lines.join(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().hint("merge"), "id", "left_semi").select("id", F.split("line", "").alias("chars")), "chars")
-    rows = pairs.join(needed.toDF("a", "ca").hint("merge"), "a").join(needed.toDF("b", "cb").hint("merge"), "b")
-    most = F.least(F.lit(threshold), F.floor(F.size("ca") * percent / 100))
+    needed = lines.join(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().hint("merge"), "id", "left_semi")
+    needed = materialize(needed.select("id", "line", *pair_bits(F.split("line", ""))), "needed")
+    x, y = (needed.select(F.col("id").alias(c), *[F.col(f"bits{k}").alias(f"{c}{k}") for k in (0, 1)]) for c in "ab")
+    flips = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in (0, 1)), F.lit(0))
+    near = materialize(pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").where(flips <= 4 * threshold).select("a", "b"), "near")
+    rows = near.join(needed.select(F.col("id").alias("a"), F.col("line").alias("la")).hint("merge"), "a")
+    rows = rows.join(needed.select(F.col("id").alias("b"), F.col("line").alias("lb")).hint("merge"), "b")
+    rows = rows.withColumn("na", F.char_length("la")).withColumn("nb", F.char_length("lb"))
+    # equal beginnings and ends take no part; as much of the beginning stays as the band needs
+    rows = rows.withColumn("begin", shared_prefix(F.col("la"), F.col("lb"), F.least("na", "nb")))
+    rows = rows.withColumn("end", shared_prefix(F.reverse("la"), F.reverse("lb"), F.least("na", "nb") - F.col("begin"))).withColumn("begin", F.greatest(F.lit(0), F.col("begin") - threshold - 5))
+    middle = lambda line, n: F.split(F.substr(line, F.col("begin") + 1, F.col(n) - F.col("begin") - F.col("end")), "")
+    # written first: the fold would else make them anew for each character
+    rows = materialize(rows.select("a", "b", "na", middle("la", "na").alias("ca"), middle("lb", "nb").alias("cb")), "middles")
+    most = F.least(F.lit(threshold), F.floor(F.col("na") * percent / 100))
     return rows.where(banded_distance(F.col("ca"), F.col("cb"), threshold) <= most).select("a", "b")
 
 
