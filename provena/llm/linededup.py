@@ -165,9 +165,9 @@ def links(lines: DataFrame, threshold: int = THRESHOLD, percent: int = PERCENT)
     rows = near.join(needed.select(F.col("id").alias("a"), F.col("line").alias("la")).hint("merge"), "a")
     rows = rows.join(needed.select(F.col("id").alias("b"), F.col("line").alias("lb")).hint("merge"), "b")
     rows = rows.withColumn("na", F.char_length("la")).withColumn("nb", F.char_length("lb"))
-    # equal beginnings and ends take no part; as much of the beginning stays as the band needs
+    # equal beginnings and ends take no part; as much of a beginning stays as the band needs
     rows = rows.withColumn("begin", shared_prefix(F.col("la"), F.col("lb"), F.least("na", "nb")))
-    rows = rows.withColumn("end", shared_prefix(F.reverse("la"), F.reverse("lb"), F.least("na", "nb") - F.col("begin"))).withColumn("begin", F.greatest(F.lit(0), F.col("begin") - threshold - 5))
+    rows = rows.withColumn("end", shared_prefix(F.reverse("la"), F.reverse("lb"), F.least("na", "nb") - F.greatest(F.col("begin"), F.lit(threshold + 5)))).withColumn("begin", F.greatest(F.lit(0), F.col("begin") - threshold - 5))
     middle = lambda line, n: F.split(F.substr(line, F.col("begin") + 1, F.col(n) - F.col("begin") - F.col("end")), "")
     # written first: the fold would else make them anew for each character
     rows = materialize(rows.select("a", "b", "na", middle("la", "na").alias("ca"), middle("lb", "nb").alias("cb")), "middles")
