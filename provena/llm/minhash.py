@@ -8,7 +8,7 @@
    pairs for each member.
 3. Only classes in buckets that then still hold several components are compared further, by an exact set join and not by bucket:
    two sets that link have a shingle in common among the rarest few of each, and where it stands bounds their intersection (prefix
-   and positional filter). Each rare shingle's smallest set meets the others that hold it first; what is then still apart meets in
+   and positional filter). ``TURNS`` times ``LEADERS`` sets of each rare shingle meet the others that hold it; what is then still apart meets in
    pairs, which the sketches thin out and the full sets decide. So no link that could join two components of a bucket is left out.
 
 The bands find a pair of similarity 0.85 with probability 0.99999 (30 bands of 7 samples); at lower thresholds the same samples make
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from provena.llm.common import Words, map_batches, materialize, mix, table, windows
 from provena.llm.components import components
 
-SHINGLE, BANDS, ROWS, SKETCH_BITS, SLACK = 5, 30, 7, 1024, 0.11
+SHINGLE, BANDS, ROWS, SKETCH_BITS, SLACK, TURNS, LEADERS = 5, 30, 7, 1024, 0.11, 2, 32
 _K = BANDS * ROWS
 _FACTORS = (mix(np.arange(1, _K + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _SALTS = mix(np.arange(1001, 1001 + _K, dtype=np.uint64))
@@ -166,10 +166,10 @@ def rare_shingles(texts: DataFrame, percent: int) -> DataFrame:
 
 
 def _may_link(percent: int) -> Column:
-    """Of sets ``a`` and ``b``, ``a`` the smaller one, that meet in a shingle at ``pa`` and ``pb``: whether sizes and places allow a link."""
+    """Of sets ``a`` and ``b`` that meet in a shingle at ``pa`` and ``pb``: whether sizes and places allow a link between components."""
     na, nb, both = F.col("na"), F.col("nb"), 100 + percent
     least = F.floor((percent * (na + nb) + both - 1) / both)
-    return ((na < nb) | ((na == nb) & (F.col("a") < F.col("b")))) & (100 * na >= percent * nb) & (F.least(na - F.col("pa"), nb - F.col("pb")) >= least) & (F.col("ca") != F.col("cb"))
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(na - F.col("pa"), nb - F.col("pb")) >= least) & (F.col("ca") != F.col("cb"))
 
 
 def _side(rare: DataFrame, x: str) -> DataFrame:
@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     often = shared.where("node <> a").groupBy("node", "a").agg(F.count("*").alias("n"))
     star = often.groupBy("node").agg(F.min("a").alias("x"), F.max_by("a", F.struct("n", -F.col("a"))).alias("y"))
     star = star.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), F.col("node").alias("b"))
-    tried = materialize(thinned(star), "pairs")
+    tried = materialize(thinned(star).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     links = materialize(confirmed(tried, texts, percent), "links")
     several = worded.groupBy("doc_id").agg(F.min(F.xxhash64("digest")).alias("x"), F.max(F.xxhash64("digest")).alias("y")).where("x <> y and doc_id is not null").select("doc_id")
     several = worded.select("doc_id", "digest").join(several.hint("merge"), "doc_id").join(nodes.select("digest", "node").hint("merge"), "digest")
@@ -209,15 +209,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     mixed = known.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
     apart = known.join(mixed.hint("merge"), "bucket").select("node").distinct()
     rare = materialize(rare_shingles(texts.join(apart.hint("merge"), "node", "left_semi"), percent), "rare")
-    for first in (True, False):
+    for turn in (*range(1, TURNS + 1), None):
         now = rare.join(labels.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        b = _side(now, "b")
-        if first:
-            a = now.groupBy("code").agg(F.min(F.struct("n", "node", "pos", "component")).alias("own")).select("code", "own.*")
-        else:
-            # the smaller set of a pair holds such a shingle even among fewer of its rarest
+        b, smaller = _side(now, "b"), F.lit(True)
+        if turn:  # a few sets of each shingle, others each turn, meet the rest: linear, and most that link are joined by it
+            order = F.xxhash64("code", "node", F.lit(turn))
+            a = now.groupBy("code", F.pmod(order, F.lit(LEADERS)).alias("slot")).agg(F.min(F.struct(order.alias("order"), "node", "n", "pos", "component")).alias("own")).select("code", "own.*")
+        else:  # the smaller set of a pair holds such a shingle even among fewer of its rarest
             a = now.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent)))
-        pairs = _side(a, "a").hint("merge").join(b, "code").where(_may_link(percent)).select("a", "b").distinct()
+            smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+        pairs = _side(a, "a").hint("merge").join(b, "code").where(_may_link(percent) & smaller).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = materialize(thinned(pairs.join(tried, ["a", "b"], "left_anti")), "pairs")
         tried = tried.union(pairs)
         labels = merged(materialize(confirmed(pairs, texts, percent), "links"))
