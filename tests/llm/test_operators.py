@@ -190,11 +190,11 @@ def test_near_duplicates_equal_brute_force(spark, odd, which):
             words[r.randrange(300)] = f"w{i}"
             rows.append((i * 3, " ".join(words)))
         rows += [(1000 + i, prose(100 + i, 150) + " " + prose(50, 60)) for i in range(40)]
-    elif which == "dense":  # many texts of one template, most pairs of them between 0.8 and 0.9
+    elif which == "dense":  # many texts of three templates, most pairs of one between 0.8 and 0.9
         rows = []
         for i in range(260):
             words = prose(9 + i % 3, 300).split()
-            for k in r.sample(range(300), 5 + i % 4):
+            for k in r.sample(range(300), 2 + i % 3):
                 words[k] = f"w{i}x{k}"
             rows.append((10_000 - i, " ".join(words)))
     else:  # ids of several texts, with and without an id
@@ -205,7 +205,7 @@ def test_near_duplicates_equal_brute_force(spark, odd, which):
     if which == "dense":
         sets = _sets(rows)
         alike = [100 * len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b]
-        assert sum(83 <= x < 85 for x in alike) > 300 < sum(85 <= x < 87 for x in alike)
+        assert sum(83 <= x < 85 for x in alike) > 300 < sum(85 <= x < 88 for x in alike)
 
 
 def test_odd_sketch_estimates_high_similarity():
