@@ -223,8 +223,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         tried = tried.union(pairs)
         labels = merged(materialize(confirmed(pairs, texts, percent), "links"))
     least = nodes.select("node", "digest", "least").join(labels.hint("merge"), "node", "left")
-    joined = least.where("component is not null").groupBy("component").agg(F.min("least").alias("component_id"))
-    least = least.join(joined.hint("merge"), "component", "left").select("digest", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.lit(True).alias("found"))
+    linked, alone = least.where("component is not null"), least.where("component is null")  # apart: a null would be one key for most
+    joined = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    linked = linked.join(joined.hint("merge"), "component").select("digest", "component_id")
+    least = linked.union(alone.select("digest", "least")).withColumn("found", F.lit(True))
     out = rows.select("doc_id", "n_shingles", "digest").join(least.hint("merge"), "digest", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
