@@ -334,9 +334,10 @@ def test_line_dedup_equals_brute_force(spark, odd, empty, shortest):
     for p in places:
         by_class[top[p[4]]].append(p[:4])
     got = collections.defaultdict(set)
-    for r in linededup.drop_repeated_lines(docs.withColumn("drops", F.lit(1)), min_chars=shortest, min_words=words).collect():
-        before = next(t for i, t in data if i == r.doc_id and (t == r.text or r.drops and "\n".join(x for k, x in enumerate(t.split("\n")) if k not in r.drops).strip() == r.text.strip()))
-        got[(r.doc_id is not None, r.doc_id or 0, before)].add(tuple(r.drops or []))
+    for r in linededup.drop_repeated_lines(docs.withColumn("drops", F.lit(1)).withColumn("before", F.col("text")), min_chars=shortest, min_words=words).collect():
+        got[(r.doc_id is not None, r.doc_id or 0, r.before or "")].add(tuple(r.drops or []))
+        kept = "\n".join(x for k, x in enumerate((r.before or "").split("\n")) if k not in (r.drops or []))
+        assert (r.text or "") == (kept if not r.drops or kept.strip() else "")
     assert all(len(x) == 1 for x in got.values())
     dropped = {(*doc, k) for doc, (drops,) in ((d, tuple(x)) for d, x in got.items()) for k in drops}
     for own in by_class.values():  # one stays, and it is of the least document
