@@ -1,7 +1,11 @@
 """The corpus pipeline: quality rules, line dedup, near-dedup, benchmark decontamination and packing, each over whole tables.
 
 Every stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet and read again as the next one's ``docs``. All but the
-last return the columns of ``documents``.
+last return the columns of ``documents``, others of the input as well, but for the names that an operator's docstring keeps for itself.
+
+Cases: a null or empty text fails the quality rules and goes there; in the other stages it is a document without words or lines, which
+stays. Rows without a ``doc_id`` are documents of their own in every stage. Of rows with equal id and text near-dedup keeps one; rows that
+share an id with different texts are told apart. Very long texts are read whole. An empty table gives an empty one.
 """
 
 from __future__ import annotations
