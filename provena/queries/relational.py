@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from provena.functions import scalar
 from provena.operators import report, resolve, spans
-from provena.queries.graphs import ORDER, read
+from provena.queries.graphs import ORDER, read, seconds
 
 _LINE_ORDER = [c.strip() for c in ORDER.split(",")]
 
@@ -83,7 +83,7 @@ select fact, case when s = 'unselected' then 'PrunedByUnselectedOptional' when s
 
 
 def _event_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("source"), "event_type", F.unix_timestamp("ts").alias("start"))
+    e = read(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("source"), "event_type", seconds("ts").alias("start"))
     return e.withColumn("end", F.col("start") + 1)
 
 
