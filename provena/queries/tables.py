@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from provena.functions import scalar
 from provena.operators import emit, graph, policy, relocate, report, resolve, spans
 from provena.plans.storage import cut, shared_path
-from provena.queries.graphs import _chain, read
+from provena.queries.graphs import _chain, read, seconds
 from provena.sources import images, index
 from provena.sources.cache import Cache
 
@@ -755,7 +755,7 @@ u as (select string_split(t, chr(10)) as x from w) select (unnest(generate_serie
 
 def inert_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events outside every ten hours after an error of their user."""
-    e = read(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("source"), "event_type", F.unix_timestamp("ts").alias("start")).withColumn("end", F.col("start") + 1)
+    e = read(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("source"), "event_type", seconds("ts").alias("start")).withColumn("end", F.col("start") + 1)
     regions = e.where("event_type = 'error'").select("source", "start", (F.col("start") + 36_000).alias("end"), F.col("event_id").alias("region"))
     return spans.outside(e, regions, ["event_id"], 4_096).select("event_id", "source")
 

@@ -32,3 +32,7 @@ def events(tmp_path):
 @pytest.mark.parametrize("name", ["range_tagging", "innermost_region"])
 def test_regions_of_parts_of_seconds(spark, events, name):
     agree(spark, events, name)
+
+
+def test_facts_outside_regions_of_parts_of_seconds(spark, events):
+    agree(spark, events, "inert_facts")
