@@ -765,7 +765,7 @@ INERT = """with e as (select event_id, user_id, event_type, epoch(ts)::bigint as
 
 def long_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of overlapping spans of a user's events whose lengths differ by four orders of magnitude, counted."""
-    e = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("source"), F.unix_timestamp("ts").alias("start"))
+    e = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("source"), seconds("ts").alias("start"))
     e = e.withColumn("end", F.col("start") + F.pow(F.lit(10), 2 + F.col("id") % 5).cast("long"))
     pairs = spans.overlapping(e.where("id % 2 = 0"), e.where("id % 2 = 1"), 256)
     return pairs.groupBy("a_id").agg(F.count("*").alias("n"), F.min("b_id").alias("least"))

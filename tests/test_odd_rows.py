@@ -36,3 +36,7 @@ def test_regions_of_parts_of_seconds(spark, events, name):
 
 def test_facts_outside_regions_of_parts_of_seconds(spark, events):
     agree(spark, events, "inert_facts")
+
+
+def test_overlaps_of_parts_of_seconds(spark, events):
+    agree(spark, events, "long_spans")
