@@ -79,8 +79,10 @@ def outside(a: DataFrame, regions: DataFrame, key: list[str], width: int = 4096)
 
 
 def misplaced(spans: DataFrame) -> DataFrame:
-    """Spans that start before an earlier span of their source has ended, for admission checks of text edits."""
+    """Spans that start before an earlier span of their source has ended, for admission checks of text edits. Of equal spans the one
+    whose other columns are least comes first, whatever the order of rows."""
     from pyspark.sql import Window
 
-    before = Window.partitionBy("source").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    rest = [c for c in spans.columns if c not in ("source", "start", "end")]
+    before = Window.partitionBy("source").orderBy("start", "end", *rest).rowsBetween(Window.unboundedPreceding, -1)
     return spans.withColumn("reached", F.max("end").over(before)).where("start < reached or start > end").drop("reached")

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from provena import catalog
+from provena.operators import spans
 from tests.test_queries import rows
 
 
@@ -40,3 +41,8 @@ def test_facts_outside_regions_of_parts_of_seconds(spark, events):
 
 def test_overlaps_of_parts_of_seconds(spark, events):
     agree(spark, events, "long_spans")
+
+
+def test_of_equal_spans_the_same_one_is_misplaced(spark):
+    found = [spans.misplaced(spark.createDataFrame([("s", 0, 5, k) for k in order], "source string, start long, end long, id long")).collect() for order in ((1, 2), (2, 1))]
+    assert [[r.id for r in f] for f in found] == [[2], [2]]
