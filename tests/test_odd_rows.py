@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from provena import catalog
-from provena.operators import spans
+from provena.operators import resolve, spans
 from tests.test_queries import rows
 
 
@@ -46,3 +46,12 @@ def test_overlaps_of_parts_of_seconds(spark, events):
 def test_of_equal_spans_the_same_one_is_misplaced(spark):
     found = [spans.misplaced(spark.createDataFrame([("s", 0, 5, k) for k in order], "source string, start long, end long, id long")).collect() for order in ((1, 2), (2, 1))]
     assert [[r.id for r in f] for f in found] == [[2], [2]]
+
+
+def test_imports_are_reduced_before_uses_meet_them(spark):
+    """Many uses of a name that many directives bring in: a join of the two would have a row for each pair."""
+    uses = spark.range(500).selectExpr("id as use", "'p' as package", "case when id < 499 then 'f' else 'g' end as name")
+    imported = spark.range(500).selectExpr("'p' as package", "cast(id as int) as pos", "0 as name_pos", "'f' as local", "concat('q', id) as from_pkg", "'f' as remote", "true as known")
+    found = resolve.import_lookup(uses, imported)
+    assert "Join Inner" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["from_pkg"], r["state"], r["count"]) for r in found.groupBy("from_pkg", "state").count().collect()} == {("q499", "imported", 499), (None, "absent", 1)}
