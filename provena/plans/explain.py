@@ -76,7 +76,7 @@ def why(analysis: Analysis, target: str) -> DataFrame:
     package, _, name = target.replace(":::", "::").partition("::")
     wanted = analysis.nodes.where(F.col("package") == package)
     wanted = wanted.where(F.col("name") == name) if name else wanted
-    paths = graph.shortest_paths(analysis.edges, analysis.roots.select("node").distinct())
+    paths = graph.shortest_paths(analysis.plain, analysis.roots.select("node").distinct(), analysis.hubs)
     hit = paths.join(wanted.select("node"), "node", "left_semi")
     return hit.orderBy("distance", "node").limit(1).select("node", "distance", "path")
 
@@ -87,5 +87,5 @@ def entries(analysis: Analysis, target: str) -> DataFrame:
     wanted = analysis.nodes.where(F.col("package") == package)
     wanted = wanted.where(F.col("name") == name) if name else wanted
     into = analysis.edges.join(wanted.select(F.col("node").alias("dst")), "dst", "left_semi").join(analysis.nodes.select(F.col("node").alias("src"), F.col("package").alias("from_package")), "src").where(F.col("from_package") != package)
-    paths = graph.shortest_paths(analysis.edges, analysis.roots.select("node").distinct()).select(F.col("node").alias("src"), "path")
+    paths = graph.shortest_paths(analysis.plain, analysis.roots.select("node").distinct(), analysis.hubs).select(F.col("node").alias("src"), "path")
     return into.join(paths, "src").select("src", "dst", "kind", "reason", "path").orderBy("src", "dst", "kind")
