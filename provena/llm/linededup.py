@@ -1,11 +1,14 @@
 """Near-duplicate lines, in DataFrame operations alone.
 
 Distinct lines within ``THRESHOLD`` edits of each other, and ``PERCENT`` hundredths of the shorter one's characters, are linked by a
-segment-partition join: a line is cut into THRESHOLD + 1 segments, of which one must survive in any line so near, at a place that
-lengths and edits bound. Index rows (length, segment number, segment) meet the substrings that a line at least as long may hold them
-at; the counts of 15 letters, which an edit changes by two in all at most, are compared in the join, so a common segment costs no
-rows, and parities of pairs of characters thin them further. Survivors are verified by a banded bit-parallel edit distance, folded over the characters with 64-bit columns. Linked lines form
-classes; of each class the first occurrence (by document, its text's hash, line) stays and all others are dropped.
+join on parts of which one must survive in any line so near. A line is cut into pieces at spaces before certain characters, so that an
+edit changes a piece or two neighbours; the ``2 * THRESHOLD + 1`` first ones in an order that all lines share are its keys (a prefix
+filter). A line of fewer pieces is cut into THRESHOLD + 1 segments, and its keys are the substrings that are segments, at a place that
+lengths and edits bound, of a line so near (segment partition). Lines that meet another one of nearly their length and pieces under a
+key are few; of those, the one that occurs most often under each key is compared with the others, and then those that are not in one
+component by now with each other, if parities of pairs of characters allow. Pairs are verified by a banded bit-parallel edit distance,
+folded over the characters with 64-bit columns. Linked lines form classes; of each class the first occurrence (by document, its text's
+hash, line) stays and all others are dropped.
 
 Lines are compared without outer white space; they keep their text. Lines under ``MIN_CHARS`` characters always stay, and those under
 ``MIN_WORDS`` words only count as repeats where they are equal: both are parameters, and at 0 every line with a character is compared.
@@ -20,7 +23,10 @@ and names that begin with ``__line_``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from provena.llm.common import materialize, table
@@ -28,8 +34,10 @@ from provena.llm.components import components
 
 THRESHOLD, PERCENT, MIN_CHARS, MIN_WORDS = 3, 10, 20, 5
 _SPACE = " \t\x0b\f\r"
-#: Letters that are counted, four bits a letter.
-_LETTERS = "etaonishrdlucmg"
+#: A line's pieces end at spaces before one of these characters.
+_BREAK = r" +(?=[a-mA-M0-9\x{80}-\x{10FFFF}])"
+#: Characters by which lengths are told apart in the keys of pieces.
+_STEP = 32
 
 
 def worded(line: Column, words: int) -> Column:
@@ -37,10 +45,17 @@ def worded(line: Column, words: int) -> Column:
     return line.rlike(r"^(?:\S++\s++){%d}\S" % (words - 1)) if words > 1 else line != ""
 
 
+def trimmed(line: Column) -> Column:
+    """``line`` without outer white space. Spaces go first: few lines have others, and for those a slower search follows."""
+    line = F.trim(line)
+    other = [end(line, F.lit(c)) for end in (F.startswith, F.endswith) for c in _SPACE[1:]]
+    return F.when(reduce(or_, other), F.btrim(line, F.lit(_SPACE))).otherwise(line)
+
+
 def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``doc_id, hash, pos, line`` of the lines that are compared; ``hash`` is that of the whole text."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("hash"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.withColumn("line", F.btrim("line", F.lit(_SPACE))).where((F.char_length("line") >= min_chars) & (F.col("line") != ""))
+    return lines.withColumn("line", trimmed(F.col("line"))).where((F.char_length("line") >= min_chars) & (F.col("line") != ""))
 
 
 def places(threshold: int) -> list[tuple[int, int, int]]:
@@ -53,46 +68,70 @@ def places(threshold: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def segment_keys(lines: DataFrame, at: list[tuple[int, int, int]], threshold: int) -> DataFrame:
-    """``id, counts, key, less``: a row for each of the places ``at``, whose key is the digest of (length, segment number, segment). A
-    line of ``n`` characters has ``threshold + 1`` segments, the last ones a character longer. The places are exploded first: one small
-    expression per row compiles well, where one for all of them would not."""
-    where = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(less).alias("less"), F.lit(shift).alias("shift")) for i, less, shift in at])
-    rows = lines.withColumn("wide", F.encode("line", "UTF-32")).select("id", "n", "counts", "wide", F.explode(where).alias("p"))
+def segment_keys(lines: DataFrame, threshold: int) -> DataFrame:
+    """``id, n, sketch, key`` of ``measured`` lines: a row for each of ``places``, whose key is the digest of (length, segment number,
+    segment). A line of ``n`` characters has ``threshold + 1`` segments, the last ones a character longer. The places are exploded first:
+    one small expression per row compiles well, where one for all of them would not."""
+    where = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(less).alias("less"), F.lit(shift).alias("shift")) for i, less, shift in places(threshold)])
+    rows = lines.withColumn("wide", F.encode("line", "UTF-32")).select("id", "n", "sketch", "wide", F.explode(where).alias("p"))
     length, i, parts = F.col("n") - F.col("p.less"), F.col("p.i"), threshold + 1
     base, first_longer = F.floor(length / parts).cast("int"), F.lit(parts) - length % parts
     start = i * base + F.greatest(F.lit(0), i - first_longer) + F.col("p.shift")
     size = base + F.when(i >= first_longer, 1).otherwise(0)
-    return rows.select("id", "counts", F.xxhash64(length, i, F.substr("wide", start * 4 + 1, size * 4)).alias("key"), F.col("p.less").alias("less"))
-
-
-def measured(lines: DataFrame) -> DataFrame:
-    """``lines`` with ``n``, the characters, and ``counts``, those of each letter of ``_LETTERS`` modulo 16; its last four bits are free."""
-    n, counts = F.char_length("line"), F.lit(0).cast("long")
-    for k, letter in enumerate(_LETTERS):
-        counts = counts.bitwiseOR(F.shiftleft(((n - F.char_length(F.replace("line", F.lit(letter), F.lit("")))) % 16).cast("long"), 4 * k))
-    return lines.withColumn("n", n.cast("int")).withColumn("counts", counts)
-
-
-def counts_apart(a: Column, b: Column) -> Column:
-    """Sum of the letters' differences: an edit adds two at most."""
-    part = lambda x, k: F.shiftright(x, 4 * k).bitwiseAND(F.lit(15).cast("long"))
-    apart = [F.pmod(part(a, k) - part(b, k), F.lit(16)) for k in range(len(_LETTERS))]
-    return sum((F.least(x, 16 - x) for x in apart[1:]), F.least(apart[0], 16 - apart[0]))
-
-
-def candidates(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs ``a, b`` of ids that share a segment where it may stand; ``lines`` has ``id, line, n, counts``. The rows that meet are
-    small: a key, an id, and the counts, in whose free bits a probe says whether it is for a line as long as its own (the key has the
-    lengths). The index, of ``threshold + 1`` rows a line, is the side that a task holds; a key with many rows is split by adaptive
-    execution."""
-    index = segment_keys(lines, [(i, 0, 0) for i in range(threshold + 1)], threshold).select(F.col("id").alias("a"), F.col("counts").alias("pa"), "key")
-    probes = segment_keys(lines, places(threshold), threshold)
-    longer = F.shiftleft((F.col("less") > 0).cast("long"), 60)
-    probes = probes.select(F.col("id").alias("b"), F.col("counts").bitwiseOR(longer).alias("pb"), F.col("key").alias("probe"))
-    near = counts_apart(F.col("pa"), F.col("pb")) <= 2 * threshold
-    shorter = (F.shiftright("pb", 60) > 0) | (F.col("a") < F.col("b"))
-    return index.hint("shuffle_hash").join(probes, (F.col("key") == F.col("probe")) & shorter & near).select("a", "b").distinct()
+    return rows.select("id", "n", "sketch", F.xxhash64(length, i, F.substr("wide", start * 4 + 1, size * 4)).alias("key"))
+
+
+def measured(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """``lines`` with ``n``, the characters, and of their pieces between ``_BREAK``: ``pieces``, how many, ``sketch``, 64 parities of their
+    hashes, and ``least``, the first ``2 * threshold + 1`` hashes in an order that takes long pieces first."""
+    code = lambda x: F.shiftrightunsigned(F.xxhash64(x), 4).bitwiseOR(F.shiftleft((7 - F.shiftright(F.least(F.octet_length(x), F.lit(31)), 2)).cast("long"), 60))
+    one = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    rows = lines.select("*", *([] if "n" in lines.columns else [F.char_length("line").alias("n")]), F.transform(F.split("line", _BREAK), code).alias("codes"))
+    flip = F.aggregate("codes", F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(one(h)))
+    return rows.select("*", F.size("codes").alias("pieces"), flip.alias("sketch"), F.slice(F.sort_array("codes"), 1, 2 * threshold + 1).alias("least")).drop("codes")
+
+
+def piece_keys(lines: DataFrame, threshold: int) -> DataFrame:
+    """``id, n, sketch, key`` of ``measured`` lines with ``2 * threshold + 1`` pieces or more: a row for each of the least. An edit
+    touches a piece or two neighbours, so ``threshold`` of them cannot touch all of these, half of which at least are no neighbours of each
+    other. Of two near lines the one whose last code is less keeps such a piece; the other one has it too, and among its least. Lengths go
+    into the key in steps of ``_STEP``; a line just above a step is in the one below as well."""
+    steps = F.array_distinct(F.array(F.floor(F.col("n") / _STEP), F.floor((F.col("n") - threshold) / _STEP)))
+    rows = lines.select("id", "n", "sketch", steps.alias("steps"), F.explode(F.array_distinct("least")).alias("code"))
+    rows = rows.select("id", "n", "sketch", "code", F.explode("steps").alias("step"))
+    return rows.select("id", "n", "sketch", F.xxhash64("code", "step").alias("key"))
+
+
+def members(lines: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """Of ``measured`` lines: ``key, id, times, n, bits0, bits1`` of those that have a key in common with another one of nearly their length and
+    pieces, and their ``id, line``. Any two lines within ``threshold`` edits have a key in common. The rows of the first join are small, and
+    it stops at the first match of a row, so a common key makes no more rows than it has."""
+    several = 2 * threshold + 1
+    keys = piece_keys(lines.where(F.col("pieces") >= several), threshold).union(segment_keys(lines.where(F.col("pieces") < several + threshold), threshold))
+    by_length = Window.partitionBy("key").orderBy("n")
+    keys = keys.withColumn("before", F.col("n") - F.lag("n").over(by_length)).withColumn("after", F.lead("n").over(by_length) - F.col("n"))
+    keys = materialize(keys.where(f"before <= {threshold} or after <= {threshold}").select("key", "id", "n", "sketch"), "keys")
+    x, y = keys.alias("x"), keys.alias("y")
+    near = (F.abs(F.col("x.n") - F.col("y.n")) <= threshold) & (F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) <= 3 * threshold)
+    found = x.join(y.hint("shuffle_hash"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & near, "left_semi")
+    found = materialize(found.select("key", "id").distinct(), "found")
+    needed = lines.join(found.select("id").distinct(), "id", "left_semi")
+    needed = needed.select("id", "line", "n", F.col("times") if "times" in lines.columns else F.lit(1).alias("times"))
+    needed = materialize(needed.select("*", *pair_bits(F.split("line", ""))), "needed")
+    found = found.join(needed.drop("line").hint("merge"), "id")
+    return materialize(found.select("key", "id", "times", "n", "bits0", "bits1"), "members"), needed.select("id", "line")
+
+
+def alike(threshold: int, a: str = "a", b: str = "b") -> Column:
+    """Whether lengths and parities allow that ``a`` and ``b`` of ``members`` are near."""
+    of = lambda c: (F.col(f"{a}.{c}"), F.col(f"{b}.{c}"))
+    flips = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in (of("bits0"), of("bits1"))), F.lit(0))
+    n, m = of("n")
+    return (F.abs(n - m) <= threshold) & (flips <= 4 * threshold)
+
+
+def ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
 def banded_distance(a: Column, b: Column, threshold: int) -> Column:
@@ -153,17 +192,13 @@ def pair_bits(chars: Column) -> list[Column]:
     return [F.aggregate(codes, F.lit(0).cast("long"), flip(half)).alias(f"bits{half}") for half in (0, 1)]
 
 
-def links(lines: DataFrame, threshold: int = THRESHOLD, percent: int = PERCENT) -> DataFrame:
-    """All pairs ``a, b`` of ids of ``lines`` (of ``measured``) within ``threshold`` edits and ``percent`` hundredths of the
-    shorter one's characters. Pairs are thinned by ``pair_bits`` before their lines are joined to them."""
-    pairs = materialize(candidates(lines, threshold), "pairs")
-    needed = lines.join(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().hint("merge"), "id", "left_semi")
-    needed = materialize(needed.select("id", "line", *pair_bits(F.split("line", ""))), "needed")
-    x, y = (needed.select(F.col("id").alias(c), *[F.col(f"bits{k}").alias(f"{c}{k}") for k in (0, 1)]) for c in "ab")
-    flips = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in (0, 1)), F.lit(0))
-    near = materialize(pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").where(flips <= 4 * threshold).select("a", "b"), "near")
-    rows = near.join(needed.select(F.col("id").alias("a"), F.col("line").alias("la")).hint("merge"), "a")
+def confirmed(pairs: DataFrame, needed: DataFrame, threshold: int, percent: int) -> DataFrame:
+    """The ``pairs`` of ids that are within ``threshold`` edits and ``percent`` hundredths of the shorter line's characters."""
+    rows = pairs.join(needed.select(F.col("id").alias("a"), F.col("line").alias("la")).hint("merge"), "a")
     rows = rows.join(needed.select(F.col("id").alias("b"), F.col("line").alias("lb")).hint("merge"), "b")
+    # the distance takes the shorter one first
+    short = F.char_length("la") <= F.char_length("lb")
+    rows = rows.select("a", "b", F.when(short, F.col("la")).otherwise(F.col("lb")).alias("la"), F.when(short, F.col("lb")).otherwise(F.col("la")).alias("lb"))
     rows = rows.withColumn("na", F.char_length("la")).withColumn("nb", F.char_length("lb"))
     # equal beginnings and ends take no part; as much of a beginning stays as the band needs
     rows = rows.withColumn("begin", shared_prefix(F.col("la"), F.col("lb"), F.least("na", "nb")))
@@ -172,7 +207,35 @@ def links(lines: DataFrame, threshold: int = THRESHOLD, percent: int = PERCENT)
     # written first: the fold would else make them anew for each character
     rows = materialize(rows.select("a", "b", "na", middle("la", "na").alias("ca"), middle("lb", "nb").alias("cb")), "middles")
     most = F.least(F.lit(threshold), F.floor(F.col("na") * percent / 100))
-    return rows.where(banded_distance(F.col("ca"), F.col("cb"), threshold) <= most).select("a", "b")
+    return materialize(rows.where(banded_distance(F.col("ca"), F.col("cb"), threshold) <= most).select("a", "b"), "links")
+
+
+def met(rows: DataFrame, threshold: int, also: Column) -> DataFrame:
+    """The distinct pairs ``a, b`` of ``members`` with a key in common that may be near."""
+    pairs = rows.alias("a").join(rows.alias("b").hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & also & alike(threshold))
+    return materialize(pairs.select(*ordered("a.id", "b.id")).distinct(), "pairs")
+
+
+def links(lines: DataFrame, threshold: int = THRESHOLD, percent: int = PERCENT) -> DataFrame:
+    """All pairs ``a, b`` of ids of ``lines`` (of ``measured``) within ``threshold`` edits and ``percent`` hundredths of the
+    shorter one's characters."""
+    rows, needed = members(measured(lines.select("id", "line"), threshold), threshold)
+    return confirmed(met(rows, threshold, F.lit(True)), needed, threshold, percent)
+
+
+def classes(lines: DataFrame, threshold: int = THRESHOLD, percent: int = PERCENT) -> DataFrame:
+    """``node, component`` of the ``measured`` lines that ``links`` links, without all of its pairs: the lines of a key first meet its leader, the
+    one that occurs most often; then those that are in different components by now meet each other."""
+    rows, needed = members(lines, threshold)
+    first = rows.groupBy("key").agg(F.max_by(F.struct("id", "n", "bits0", "bits1"), F.struct("times", "id")).alias("b")).withColumnRenamed("key", "of")
+    pairs = rows.alias("a").join(first.hint("merge"), (F.col("a.key") == F.col("of")) & (F.col("a.id") != F.col("b.id")) & alike(threshold))
+    led = confirmed(materialize(pairs.select(*ordered("a.id", "b.id")).distinct(), "pairs"), needed, threshold, percent)
+    rows = rows.join(components(led).hint("merge"), F.col("id") == F.col("node"), "left").withColumn("class", F.coalesce("component", "id")).drop("node", "component")
+    rows = materialize(rows, "members")
+    several = rows.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("key")
+    rows = materialize(rows.join(several.hint("merge"), "key", "left_semi"), "apart")
+    pairs = met(rows, threshold, F.col("a.class") != F.col("b.class"))
+    return components(led.union(confirmed(pairs, needed, threshold, percent)))
 
 
 def _code(line: str) -> list[Column]:
@@ -182,14 +245,14 @@ def _code(line: str) -> list[Column]:
 def repeated(docs: DataFrame, threshold: int = THRESHOLD, percent: int = PERCENT, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``doc_id, hash, drops``: the line numbers of each document that an earlier line of their class makes redundant."""
     places = occurrences(docs, min_chars)
-    lines = places.groupBy("line").agg(F.count("*").alias("times")).select("line", *_code("line"), "times")
-    lines = materialize(measured(lines), "lines")
+    lines = places.groupBy("line").agg(F.count("*").alias("times")).select("line", *_code("line"), "times", F.char_length("line").alias("n"))
+    lines = materialize(measured(lines, threshold), "lines")
     # a line too short for one edit is near to none but itself
     compared = lines.where(worded(F.col("line"), min_words) & (F.col("n") * percent >= 100))
-    labels = components(materialize(links(compared.select("id", "line", "n", "counts"), threshold, percent), "links"))
+    labels = classes(compared, threshold, percent)
     found = lines.join(labels.hint("merge"), F.col("id") == F.col("node"), "left").where("times > 1 or component is not null")
     found = materialize(found.select("id", "id2", F.coalesce("component", "id").alias("class")), "repeated")
-    rows = places.select(F.struct("doc_id", "hash", "pos").alias("place"), *_code("line")).join(found.hint("merge"), ["id", "id2"])
+    rows = places.select(F.struct("doc_id", "hash", "pos").alias("place"), *_code("line")).join(found, ["id", "id2"])
     rows = materialize(rows.select("class", "place"), "places")
     firsts = rows.groupBy("class").agg(F.min("place").alias("first"))
     rows = rows.join(firsts.hint("merge"), "class").where("place <> first")
@@ -203,7 +266,7 @@ def drop_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, key: str =
     docs = docs.drop("drops")
     drops = materialize(repeated(plain, threshold, percent, min_words, min_chars), "drops").toDF("__line_doc", "__line_hash", "drops")
     rows = docs.withColumn("__line_own", F.xxhash64(whole))
-    rows = rows.join(drops.hint("merge"), F.col(key).cast("long").eqNullSafe(F.col("__line_doc")) & (F.col("__line_own") == F.col("__line_hash")), "left")
+    rows = rows.join(drops, F.col(key).cast("long").eqNullSafe(F.col("__line_doc")) & (F.col("__line_own") == F.col("__line_hash")), "left")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("drops", i)), "\n")
     kept = F.when(kept.rlike(r"\S"), kept).otherwise("")
     return rows.withColumn(text, F.when(F.col("drops").isNull(), F.col(text)).otherwise(kept)).drop("__line_doc", "__line_hash", "__line_own")

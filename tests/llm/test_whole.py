@@ -111,3 +111,26 @@ def test_line_dedup_stage_drops_exact_repeats_of_few_words(spark, sf):
     rows = [(1, "All rights reserved.\n" + prose(1, 30)), (2, prose(2, 30) + "\n All rights reserved. \nshort"), (3, "All rights reserved!\nshort"), (4, "All rights reserved.")]
     got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, documents(spark, rows), sf).collect()}
     assert got == {1: rows[0][1], 2: prose(2, 30) + "\nshort", 3: rows[2][1]}
+
+
+def test_lines_of_many_pieces_equal_brute_force(spark):
+    r, rows = random.Random(5), set()
+    for k in range(12):
+        line = prose(k, r.choice([25, 40]))
+        rows |= {line, line.replace(" ", "  ", 2), line[:90] + " 7" + line[90:], *(edited(r, line, n) for n in (1, 2, 3, 3, 4))}
+    rows = list(enumerate(sorted(rows)))
+    near = {(a, b): plain_distance(x, y) for a, x in rows for b, y in rows if a < b and abs(len(x) - len(y)) <= 3 and x[:12] == y[:12] or a < b and x[-12:] == y[-12:]}
+    lines = linededup.measured(spark.createDataFrame(rows, "id long, line string"))
+    assert lines.where(f"pieces >= {2 * linededup.THRESHOLD + 1}").count() > 90
+    got = {(min(x), max(x)) for x in linededup.links(lines).collect()}
+    assert got >= {p for p, d in near.items() if d <= 3} and all(plain_distance(rows[a][1], rows[b][1]) <= 3 for a, b in got)
+
+
+def test_many_variants_of_a_line_make_few_pairs(spark, monkeypatch):
+    line, made = prose(3, 40), []
+    variants = [line, *(line[:k] + "xyz" + line[k:] for k in range(5, 125))]
+    docs = spark.createDataFrame([*enumerate(variants), (200, line), (201, prose(4, 40))], "doc_id long, text string")
+    plain = linededup.confirmed
+    monkeypatch.setattr(linededup, "confirmed", lambda pairs, *more: (made.append(pairs.count()), plain(pairs, *more))[1])
+    got = {x.doc_id: x.drops for x in linededup.repeated(docs).collect()}
+    assert got == {k: [0] for k in (*range(1, 121), 200)} and sum(made) < 2 * len(variants)
