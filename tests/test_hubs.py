@@ -31,3 +31,30 @@ def test_a_pair_of_site_and_method_is_only_an_edge_for_who_reads_edges(spark):
     assert {r["kind"]: r["count"] for r in made} == {"Dispatch": 10 * 14, "OpenDispatch": 10 * 20}
     assert got.plain.where("kind in ('Dispatch', 'OpenDispatch')").isEmpty() and got.hubs[0].count() == 40 and got.hubs[1].count() == 34
     assert explain.why(got, "foo::m2").first().path == ["binding:root::f", "binding:foo::start", "binding:foo::s1", "binding:foo::m2"]
+
+
+def test_pairs_of_several_hubs_come_once(spark):
+    chance = random.Random(7)
+    into = [(f"n{chance.randrange(30):02}", f"h{chance.randrange(5)}", k % 2) for k in range(120)] + [("n00", "alone", 0)]
+    out = [(f"h{chance.randrange(6)}", f"m{chance.randrange(40):02}") for _ in range(150)]
+    found = graph.pairs(spark.createDataFrame(into, "node string, hub string, mark int"), spark.createDataFrame(out, "hub string, dst string"), 3)
+    want = {(a, m, b) for a, h, m in into for g, b in out if g == h}
+    assert found.columns == ["node", "mark", "dst"] and sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_edges_of_pairs_are_not_collected_to_be_told_apart(spark):
+    u = Universe().package("root", ["f"], f="s")
+    u.rows["bindings"].extend([("root", "s", "Closure", "", "", False), ("root", "m", "Closure", "", "", False)])
+    for kind in ("a", "b", "default"):
+        u.add("s3", "root", None, "gen", kind, "m")
+    u.add("generics", "root", "s", "gen", ["a", "b"]).add("generics", "root", "s", "gen", None)
+    got = u.run(spark).edges
+    assert sorted(r.kind for r in got.where("dst = 'binding:root::m'").collect()) == ["Dispatch", "OpenDispatch"]
+
+    def under(plan):
+        return [plan.nodeName(), *(n for k in range(plan.children().length()) for n in under(plan.children().apply(k)))]
+
+    def aggregates(plan):
+        return ([under(plan)] if plan.nodeName() == "Aggregate" else []) + [a for k in range(plan.children().length()) for a in aggregates(plan.children().apply(k))]
+
+    assert not any("Join" in below for below in aggregates(got._jdf.queryExecution().optimizedPlan()))
